@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import quality, toxicity
+from docloom.llm import quality, simhash, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +18,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     return quality.quality_scores(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op7_quality]
+    found = [op1_toxicity, op3_simhash, op7_quality]
     return {f.__name__: f for f in found}
 
 
