@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import quality, simhash, toxicity
+from docloom.llm import bytebpe, quality, simhash, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +24,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of every document's ids, encoded and decoded."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytebpe.digests(_t(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     return quality.quality_scores(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_simhash, op7_quality]
+    found = [op1_toxicity, op3_simhash, op6_byte_bpe, op7_quality]
     return {f.__name__: f for f in found}
 
 
