@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bytebpe, quality, simhash, toxicity
+from docloom.llm import bytebpe, flac, quality, simhash, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as FLAC, read back and described."""
+    return flac.media_digests(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_simhash, op6_byte_bpe, op7_quality]
+    found = [op1_toxicity, op3_simhash, op6_byte_bpe, op7_quality, op9_flac]
     return {f.__name__: f for f in found}
 
 
