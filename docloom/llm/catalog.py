@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bytebpe, flac, quality, simhash, toxicity
+from docloom.llm import bytebpe, flac, packing, quality, simhash, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens laid out in windows, with lexical neighbours."""
+    return packing.pack(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of every document's ids, encoded and decoded."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,7 +46,7 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_simhash, op6_byte_bpe, op7_quality, op9_flac]
+    found = [op1_toxicity, op3_simhash, op4_packing, op6_byte_bpe, op7_quality, op9_flac]
     return {f.__name__: f for f in found}
 
 
