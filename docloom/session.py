@@ -7,8 +7,13 @@ recomputation from the sources, and nothing is left on a machine's own disk.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +73,19 @@ def discard(df: DataFrame | None) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docloom_shipped", None) == sc.applicationId:
+        return
+    root = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="docloom-"), "docloom.zip")  # the driver serves it from here
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sys.path[:] = [p for p in sys.path if not p.endswith("docloom.zip")]  # the driver has the package itself
+    sc._docloom_shipped = sc.applicationId
