@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bytebpe, flac, packing, quality, simhash, toxicity
+from docloom.llm import bytebpe, flac, license_scan, packing, quality, simhash, toxicity, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.license_scan(_t(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of every document's ids, encoded and decoded."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,8 +50,13 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(_t(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return url_filter.url_verdicts(_t(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_simhash, op4_packing, op6_byte_bpe, op7_quality, op9_flac]
+    found = [op1_toxicity, op3_simhash, op4_packing, op5_license_scan, op6_byte_bpe, op7_quality, op9_flac, op10_url_filter]
     return {f.__name__: f for f in found}
 
 
