@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bytebpe, flac, license_scan, packing, quality, simhash, toxicity, url_filter
+from docloom.llm import bytebpe, flac, license_scan, line_dedup, packing, quality, simhash, toxicity, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and fate of every line of every document."""
+    return line_dedup.line_classes(_t(spark, sf_dir, "documents")).drop("id")
+
+
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as FLAC, read back and described."""
     return flac.media_digests(_t(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_simhash, op4_packing, op5_license_scan, op6_byte_bpe, op7_quality, op9_flac, op10_url_filter]
+    found = [op1_toxicity, op3_simhash, op4_packing, op5_license_scan, op6_byte_bpe, op7_quality, op8_line_dedup, op9_flac, op10_url_filter]
     return {f.__name__: f for f in found}
 
 
