@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import bytebpe, flac, license_scan, line_dedup, packing, quality, simhash, toxicity, url_filter
+from docloom.llm import ann, bytebpe, flac, license_scan, line_dedup, packing, quality, simhash, toxicity, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for each hundredth one."""
+    return ann.search(_t(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
@@ -61,7 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_simhash, op4_packing, op5_license_scan, op6_byte_bpe, op7_quality, op8_line_dedup, op9_flac, op10_url_filter]
+    found = [op1_toxicity, op2_ann, op3_simhash, op4_packing, op5_license_scan, op6_byte_bpe, op7_quality, op8_line_dedup, op9_flac, op10_url_filter]
     return {f.__name__: f for f in found}
 
 
