@@ -15,7 +15,7 @@ def want(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text())
+@given(st.text(st.characters(codec="utf-8")))
 def test_split_is_that_of_the_library(text):
     words = bytebpe.splitter(P.PATTERN)(text)
     enc = bytebpe.encoding(PATH, P.PATTERN)
