@@ -60,10 +60,17 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # for words that are normalised and split already: the same merges, without the work ahead of them
+        self.merges = Tokenizer.from_file(path)
+        self.merges.encode_special_tokens = True
+        self.merges.normalizer = None
+        blank = pre_tokenizers.WhitespaceSplit()
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([blank, byte_level])
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.size = max(self.library.get_vocab().values(), default=-1) + 1
         self.ends = np.zeros(self.size, bool)
@@ -77,7 +84,9 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         if len(self.words) > _CACHE_MAX:
             self.words.clear()
-        ids = self._whole(" ".join(words))
+        joined = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+        found = self.merges.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
             parts = [self._whole(w) for w in words]
