@@ -11,7 +11,7 @@ from docloom.functions import predicates, stamps
 from docloom.functions import text as tx
 from docloom.operators import layout, messages, rules, similarity
 from docloom.plans import fixtures as fx
-from docloom.sources import html, text
+from docloom.sources import html, markdown, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -544,3 +544,44 @@ def release_pipeline(s, d):
     rows = rows.withColumn("thread", tx.norm_subject(F.col("subject"))).withColumn("date", F.date_format("stamp.naive", "yyyy-MM-dd")).withColumn("time", F.date_format("stamp.naive", "HHmm"))
     return messages.thread_links(rows, "thread", ["date", "time", "message"], "message").select(
         "doc_id", "message", "page", "sender", "subject", "date", "time", F.col("stamp.how").alias("how"), "content", "reply_to")
+
+
+@query(rf"""SELECT doc_id, n, regexp_extract(t, '!\[([^\]]*)\]', 1) AS alt, regexp_extract(t, '\]\(([^)]*)\)', 1) AS src, CAST(round_even(CASE WHEN w <= 1 THEN w * 100 ELSE w END, 0) AS INTEGER) AS width FROM (
+SELECT doc_id, n, t, try_cast(nullif(regexp_extract(t, 'width=([0-9.]+)', 1), '') AS DOUBLE) AS w FROM (SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) AS n, unnest(a) AS t
+FROM (SELECT doc_id, regexp_extract_all(text, '(!\[[^\]]*\]\([^)]*\)(?:\{{width=[0-9.]+\}})?)', 1) AS a FROM {fx.PIECES.sql})))""")
+def image_tokens(s, d):
+    return markdown.images(fx.PIECES.df(s))
+
+
+@query(rf"""SELECT doc_id, n, {_STRIP.format('p')} AS paragraph FROM (SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) AS n, unnest(a) AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\n{{2,}}') AS a FROM {fx.PIECES.sql})) WHERE {_STRIP.format('p')} <> ''""")
+def paragraphs(s, d):
+    return markdown.paragraphs(fx.PIECES.df(s))
+
+
+@query(rf"""WITH f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM ({_fl(fx.PIECES)})),
+h AS (SELECT doc_id, line_no, CAST(length(regexp_extract(line, '^(#{{1,6}})\s', 1)) AS INTEGER) AS level, {_STRIP.format("regexp_replace(line, '^#{1,6}\\s+', '')")} AS title FROM f WHERE regexp_matches(line, '^#{{1,6}}\s') AND k % 2 = 0)
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, level ORDER BY line_no) AS INTEGER) AS nth FROM h""")
+def headings(s, d):
+    return markdown.headings(fx.PIECES.df(s))
+
+
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{{3}}[ \t]+(.*)$', '<h3>\1</h3>', 'g'), '(?m)^#{{2}}[ \t]+(.*)$', '<h2>\1</h2>', 'g'), '(?m)^#{{1}}[ \t]+(.*)$', '<h1>\1</h1>', 'g') AS html FROM {fx.PIECES.sql}""")
+def heading_tags(s, d):
+    return fx.PIECES.df(s).select("doc_id", markdown.heading_tags(F.col("text")).alias("html"))
+
+
+@query(rf"""SELECT doc_id, lower(regexp_extract(b, '\[!([A-Z]+)\]', 1)) AS kind, {_STRIP.format("regexp_replace(regexp_replace(b, '^>[ ]*\\[![A-Z]+\\][ ]*', ''), '(?m)^>[ ]?', '', 'g')")} AS body
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^(>\s*\[![A-Z]+\][^\n]*(?:\n>[^\n]*)*)', 1)) AS b FROM {fx.PIECES.sql})""")
+def callouts(s, d):
+    return markdown.callouts(fx.PIECES.df(s))
+
+
+@query("SELECT * FROM (SELECT doc_id, name, CASE WHEN unit = 'text' THEN '\"' || value || '\"' WHEN regexp_matches(value, '^\\s*[0-9]+(\\.[0-9]+)?\\s*(pt|em|cm)?\\s*$') THEN regexp_extract(value, '[0-9]+(\\.[0-9]+)?') || unit END AS value FROM "
+       + fx.SETTINGS.sql + " JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in markdown.OVERRIDES.items()) + ") u(name, unit) USING (name)) WHERE value IS NOT NULL")
+def typed_overrides(s, d):
+    return markdown.typed_overrides(fx.SETTINGS.df(s))
+
+
+@query()
+def inline_marks(s, d):
+    return fx.MARKS.df(s).select("id", markdown.inline_udf("text").alias("html"))

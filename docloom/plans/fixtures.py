@@ -101,3 +101,11 @@ MAIL = Fixture("doc_id long, text string", [
     (1, "From: Ann Lee\nTo: Bob\nSubject: RE: plan\nSent: 2/4/2020 9:10 AM\n\nHello Bob, this is the text.\nOn 3 Feb 2020, at 22:15, Bob Ray wrote:\nEarlier words of Bob.\n\fFrom: Cy\nDate: 8 Feb 2020 22:15\nBody of Cy"),
     (2, "no message at all"),
 ])
+PIECES = Fixture("doc_id long, text string", [
+    (1, "# One\n\nA para with ![alt](a.png){width=0.5} and ![](b.png)\n\n\n## Two\n```\n# not\n```\n# Three"),
+    (2, "> [!NOTE] hello\n> more\n\n> plain quote\n\n> [!TIP]\n> x"), (3, "![z](http://x/y.png){width=0.125}\n\n### Deep  \n"), (4, ""),
+])
+SETTINGS = Fixture("doc_id long, name string, value string", [
+    (1, "body_size", "10pt"), (1, "margin", "2.5"), (1, "unknown", "1"), (2, "body_font", "Garamond"), (2, "leading", "wide"), (2, "columns", "2"),
+])
+MARKS = Fixture("id int, text string", [(1, "**b** and *i* and `**c**` [l](u)"), (2, "a < b ~~s~~[^1]"), (3, "***x***"), (4, "")])

@@ -103,3 +103,9 @@ def test_entry_without_the_optional_folders(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'identity_merge' in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_inline_marks(spark, sf001):
+    got = {r.id: r.html for r in catalog.QUERIES["inline_marks"](spark, sf001).collect()}
+    assert got[1] == '<b>b</b> and <i>i</i> and <code>**c**</code> <a href="u">l</a>'
+    assert got[2] == "a &lt; b <s>s</s><sup>1</sup>" and got[3] == "<b><i>x</i></b>" and got[4] == ""
