@@ -144,7 +144,7 @@ def vocabulary(docs: DataFrame, words: DataFrame, most: int = 6, key: str = "doc
     """key, n, word, meaning: the first ``most`` different words of a text that the dictionary (word, meaning) holds."""
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
     rows = docs.select(key, F.posexplode(tokens).alias("pos", "word"))
-    met = rows.join(F.broadcast(words), "word").groupBy(key, "word", "meaning").agg(F.min("pos").alias("pos"))
+    met = rows.join(words, "word").groupBy(key, "word", "meaning").agg(F.min("pos").alias("pos"))
     n = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     return met.withColumn("n", n).where(F.col("n") <= most).select(key, "n", "word", "meaning")
 

@@ -229,9 +229,9 @@ def line_similarity(s, d):
 
 @query()
 def prefix_dedupe(s, d):
-    docs = _t(s, d, "documents").select("doc_id", F.slice(F.split("text", "\n"), 1, 6).alias("lines"))
-    have = F.slice("lines", 1, 2)
-    return docs.select("doc_id", F.size(similarity.new_tail_udf("lines", have)).alias("n_new"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, 120))
+    docs = _t(s, d, "documents").select("doc_id", lines.alias("lines"))
+    return docs.select("doc_id", F.size(similarity.new_tail_udf("lines", F.slice("lines", 1, 2))).alias("n_new"))
 
 
 _NORM = r"lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
