@@ -1,17 +1,21 @@
 """Byte-level BPE: encode each distinct word once, join its ids back, reassemble by position.
 
-1. One pass splits the texts into pre-tokens and emits the distinct ones of
-   each batch; a global distinct leaves one row for each word of the corpus,
-   and each is encoded once.
-2. A second pass explodes the pre-tokens with their positions.  Rows are
-   combined before the shuffle: a block of documents (a few MB of text) has
-   one row for each distinct word, with all its positions in the block as
-   delta-coded varints.  A frequent word is one row a block, so no key is
-   heavier than a block allows, and adaptive joins split a hot one.
-3. Ids are joined to the rows by word, the rows go to their block, and the
-   block's token sequence is put together by position and cut into documents.
+1. Texts are worked off in blocks of a few MB.  A block explodes its
+   pre-tokens with their positions and combines them before the shuffle: its
+   distinct words, and the sequence of their numbers.
+2. The distinct words of all blocks go to the bucket of their hash, packed as
+   one row for each block and bucket.  There, every word of the corpus meets
+   itself from all blocks, is encoded once, and its ids go back to the blocks.
+   A frequent word is one entry a block, so no bucket is hot.
+3. A block joins its words' ids to its number sequence, position by position,
+   and is cut into documents.
 4. Decoding joins each id with the token-byte table (as many rows as the
-   vocabulary has, so it can be broadcast) and concatenates.
+   vocabulary has, so it can be sent to every task) and concatenates.
+
+The texts are split twice, once for the words and once for the sequences, as
+that costs less than to store both.  The two passes must see the same blocks:
+``docs`` has to be a stable scan, such as a Parquet table; a checksum of each
+block's words is compared, and a difference raises an error.
 
 Defined cases: a null text counts as empty; an empty text has no ids and
 decodes to no bytes; repeated rows are encoded each; other columns are never
@@ -22,6 +26,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,16 +35,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from docloom.llm.textbytes import byte_rows, slices
+from docloom.llm.textbytes import LETTERS, NUMBERS, ODD, byte_rows, slices
 
-#: Bytes of text in a block, one document at least.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block (one document at least), and of text for each bucket of words.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 
 
 @lru_cache(maxsize=4)
@@ -65,104 +72,81 @@ def token_table(path: str) -> list[bytes]:
     return out
 
 
+#: Where no character is odd, the pattern of the library's words as plain classes, which are quicker.
+_PUBLIC = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_QUICK = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+"
+)
+
+
 def splitter(pattern: str) -> Callable[[str], list[str]]:
-    return regex.compile(pattern).findall
+    """A function from a text to its pre-tokens."""
+    whole = regex.compile(pattern).findall
+    if pattern != _PUBLIC:
+        return whole
+    quick, odd = _QUICK.findall, ODD.search
+    return lambda text: whole(text) if odd(text) else quick(text)
 
 
-def _varints(deltas: np.ndarray) -> bytes:
-    """Unsigned integers as little-endian base-128 bytes."""
-    if len(deltas) and deltas.max() < 128:
-        return deltas.astype(np.uint8).tobytes()
-    sizes = np.ones(len(deltas), np.int64)
-    for k in range(1, 10):
-        sizes += deltas >= np.int64(1) << (7 * k) if 7 * k < 63 else 0
-    at = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.uint8)
-    for k in range(int(sizes.max(initial=0))):
-        has = sizes > k
-        out[at[has] + k] = (deltas[has] >> (7 * k) & 127) | np.where(sizes[has] > k + 1, 128, 0)
-    return out.tobytes()
+def _pack(parts: list[bytes]) -> bytes:
+    """Byte strings as one: their number, their lengths, and all of them; compressed."""
+    lengths = np.fromiter(map(len, parts), "<u4", len(parts))
+    return _squeeze(np.array(len(parts), "<u4").tobytes() + _planes(lengths) + b"".join(parts))
 
 
-def _from_varints(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    if not len(b) or b.max() < 128:
-        return b.astype(np.int64)
-    ends = b < 128
-    starts = np.flatnonzero(np.concatenate(([True], ends[:-1])))
-    shift = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
-    return np.add.reduceat((b & 127).astype(np.int64) << (7 * shift), starts)
+def _unpack(data: bytes) -> tuple[np.ndarray, bytes]:
+    """The lengths and the concatenation."""
+    data = _spread(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    return _from_planes(data[4 : 4 + 4 * n]), data[4 + 4 * n :]
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t.decode("utf-8", "replace") for t in byte_rows(batch.column("text"))]
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as all their lowest bytes, then the next, and so on: the upper ones compress to almost nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def vocabulary(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, ids): every distinct pre-token of the corpus with its ids (little-endian 32-bit), each encoded once."""
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern)
-        seen: set[str] = set()  # words already emitted by this task, forgotten when there are many
-        for b in batches:
-            fresh = set(chain.from_iterable(map(find, _texts(b)))) - seen
-            if len(seen) > 300_000:
-                seen.clear()
-            seen |= fresh
-            yield pa.record_batch({"word": pa.array([w.encode() for w in fresh], pa.binary())})
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = encoding(path, pattern)._encode_single_piece
-        ranks = load_ranks(path)
-        for b in batches:
-            words = b.column("word").to_pylist()
-            ids = [(ranks[w],) if w in ranks else merge(w) for w in words]
-            yield pa.record_batch(
-                {"word": b.column("word"), "ids": pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())}
-            )
 
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
-    words = texts.mapInArrow(split, "word binary").distinct()
-    return words.mapInArrow(encode, "word binary, ids binary")
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def _exploded(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """(block, word, at): the positions of a word in a block; the row without a word carries the block's documents."""
-    kind = docs.schema["doc_id"].dataType
-    head = to_arrow_schema(StructType([StructField("doc_id", kind), StructField("n", LongType())]))
+def _spread(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _slice_words(data: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def _blocks(
+    batches: Iterator[pa.RecordBatch], pattern: str, size: int, buckets: int
+) -> Iterator[tuple[int, pa.RecordBatch, list[list[str]], list[bytes], np.ndarray, np.ndarray]]:
+    """(block, its rows, their pre-tokens, its distinct words in order of bucket, their hashes, each word's new number)."""
+    find = splitter(pattern)
+    for b in batches:
+        raw = byte_rows(b.column("text"))
+        for i, j in slices(raw, size):
+            words = [find(t.decode("utf-8", "replace")) for t in raw[i:j]]
+            distinct = [w.encode() for w in dict.fromkeys(chain.from_iterable(words))]
+            hashes = np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct))
+            order = np.argsort(hashes % buckets, kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            name = xxhash.xxh64()  # a block is named by what it holds, so both passes give it the same name
+            for t in raw[i:j]:
+                name.update(len(t).to_bytes(8))
+                name.update(t)
+            yield name.intdigest() >> 1, b.slice(i, j - i), words, [distinct[x] for x in order], hashes[order], number
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, part, k = splitter(pattern), TaskContext.get().partitionId(), 0
-        for b in batches:
-            raw = byte_rows(b.column("text"))
-            for i, j in slices(raw, block_bytes):
-                at: dict[str, int] = {}
-                words = [find(t.decode("utf-8", "replace")) for t in raw[i:j]]
-                number = at.setdefault
-                codes = np.fromiter((number(w, len(at)) for w in chain.from_iterable(words)), np.int64)
-                order = np.argsort(codes, kind="stable")
-                sizes = np.bincount(codes, minlength=len(at))
-                ends = np.cumsum(sizes)
-                first = np.zeros(len(codes), bool)
-                first[(ends - sizes)[sizes > 0]] = True
-                deltas = np.where(first, order, np.diff(order, prepend=0))
-                rows = [_varints(d) for d in np.split(deltas, ends[:-1])] if at else []
-                ids = pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array([len(w) for w in words])], schema=head)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, head) as out:
-                    out.write_batch(ids)
-                yield pa.record_batch(
-                    {
-                        "block": pa.array(np.full(len(at) + 1, (part << 32) + k)),
-                        "word": pa.array([None, *(w.encode() for w in at)], pa.binary()),
-                        "at": pa.array([sink.getvalue().to_pybytes(), *rows], pa.binary()),
-                    }
-                )
-                k += 1
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "block long, word binary, at binary"
-    )
+
+def _sum(hashes: np.ndarray) -> bytes:
+    """A checksum of words that adds up over buckets."""
+    return np.array([int(hashes.sum()) + (len(hashes) << 33)], "<i8").tobytes()
 
 
 def encode(
@@ -170,33 +154,88 @@ def encode(
     finish: Callable[[list[np.ndarray]], dict[str, pa.Array]] | None = None,
 ) -> DataFrame:
     """doc_id and ids of every row; ``finish`` may derive other ``columns`` from the ids of a block's documents."""
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, type_ = dict(docs.dtypes)["doc_id"], docs.schema["doc_id"].dataType
+    head = to_arrow_schema(StructType([StructField("doc_id", type_), StructField("n", LongType())]))
     finish = finish or (lambda ids: {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))})
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(8, -(-total // BUCKET_BYTES))
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, _, words, hashes, _ in _blocks(batches, pattern, block_bytes, buckets):
+            if not words:
+                continue
+            of = hashes % buckets
+            starts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist()]
+            spans = list(zip(starts, [*starts[1:], len(words)], strict=True))
+            packed = [_sum(hashes[a:b]) + _pack(words[a:b]) for a, b in spans]
+            yield pa.record_batch(
+                {
+                    "block": pa.array(np.full(len(starts), block)),
+                    "bucket": pa.array(of[starts]),
+                    "data": pa.array(packed, pa.binary()),
+                }
+            )
+
+    def encode_bucket(rows: pa.Table) -> pa.Table:
+        merge, ranks, known = encoding(path, pattern)._encode_single_piece, load_ranks(path), {}
+        out = []
+        for data in rows.column("data").to_pylist():
+            lengths, joined = _unpack(data[8:])
+            ids = []
+            for w in _slice_words(joined, lengths):
+                x = known.get(w)
+                if x is None:
+                    x = known[w] = np.array((ranks[w],) if w in ranks else merge(w), "<u4").tobytes()
+                ids.append(x)
+            sizes = np.fromiter(map(len, ids), "<u4", len(ids)) // 4
+            body = np.array(len(ids), "<u4").tobytes() + _planes(sizes) + _planes(np.frombuffer(b"".join(ids), "<u4"))
+            out.append(data[:8] + _squeeze(body))
+        return rows.set_column(2, "data", pa.array(out, pa.binary()))
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows, words, _, hashes, number in _blocks(batches, pattern, block_bytes, buckets):
+            first = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+            codes = number[np.fromiter(map(first.__getitem__, chain.from_iterable(words)), np.int64)]
+            own = pa.record_batch([rows.column("doc_id"), pa.array([len(w) for w in words], pa.int64())], schema=head)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head) as stream:
+                stream.write_batch(own)
+            top = sink.getvalue().to_pybytes()
+            data = np.array([len(top)], "<i8").tobytes() + _sum(hashes) + top + _squeeze(_planes(codes))
+            yield pa.record_batch({"block": pa.array([block]), "bucket": pa.array([-1]), "data": pa.array([data], pa.binary())})
 
     def assemble(block: pa.Table) -> pa.Table:
-        words, at, ids = (block.column(c).to_pylist() for c in ("word", "at", "ids"))
-        head = words.index(None)
-        docs_ = pa.ipc.open_stream(at[head]).read_all()
-        counts = docs_.column("n").to_numpy()
-        total = int(counts.sum())
-        of_word = [np.frombuffer(x, "<u4") if x is not None else np.zeros(0, "<u4") for x in ids]
-        word_at = np.zeros(total, np.int64)
-        for k, x in enumerate(at):
-            if k != head:
-                word_at[np.cumsum(_from_varints(x))] = k
-        sizes = np.fromiter(map(len, of_word), np.int64, len(of_word))
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(of_word)
-        n = sizes[word_at]
-        ends = np.cumsum(n)
-        index = np.repeat(starts[word_at] - (ends - n), n) + np.arange(int(n.sum()))
-        tokens = flat[index]
-        cut = np.concatenate(([0], ends))[np.cumsum(counts)]
-        return pa.table({"doc_id": docs_.column("doc_id")} | finish(np.split(tokens, cut[:-1])))
-
-    rows = _exploded(docs, pattern, block_bytes)
-    joined = rows.join(vocabulary(docs, path, pattern), "word", "left")
-    return joined.groupBy("block").applyInArrow(assemble, f"doc_id {kind}, {columns}")
+        found = list(zip(block.column("bucket").to_pylist(), block.column("data").to_pylist(), strict=True))
+        words = dict(x for x in found if x[0] >= 0)  # blocks of the same texts have the same words
+        sizes, flat, total = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")], 0
+        for bucket in sorted(words):
+            total += int(np.frombuffer(words[bucket], "<i8", 1)[0])
+            data = _spread(words[bucket][8:])
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            sizes.append(_from_planes(data[4 : 4 + 4 * n]).astype(np.int64))
+            flat.append(_from_planes(data[4 + 4 * n :]))
+        each, ids = np.concatenate(sizes), np.concatenate(flat)
+        starts = np.cumsum(each) - each
+        own, tokens = [], []
+        for data in [x[1] for x in found if x[0] < 0]:
+            size, check = (int(x) for x in np.frombuffer(data, "<i8", 2))
+            if check != total:
+                raise ValueError("the two passes over the texts saw different blocks: store the documents first")
+            own.append(pa.ipc.open_stream(data[16 : 16 + size]).read_all())
+            codes = _from_planes(_spread(data[16 + size :])).astype(np.int64)
+            n = each[codes]
+            ends = np.cumsum(n)
+            sequence = ids[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(n.sum()))]
+            cut = np.concatenate(([0], ends))[np.cumsum(own[-1].column("n").to_numpy())]
+            tokens += np.split(sequence, cut[:-1])
+        if not own:
+            raise ValueError("the two passes over the texts saw different blocks: store the documents first")
+        return pa.table({"doc_id": pa.concat_tables(own).column("doc_id")} | finish(tokens))
+
+    row = "block long, bucket long, data binary"
+    encoded = texts.mapInArrow(words_of, row).groupBy("bucket").applyInArrow(encode_bucket, row)
+    return encoded.unionByName(texts.mapInArrow(sequences, row)).groupBy("block").applyInArrow(assemble, f"doc_id {kind}, {columns}")
 
 
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:

@@ -20,7 +20,6 @@ empty result; other columns are never read.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.textbytes import byte_rows, slices
+from docloom.llm.textbytes import LETTERS, NUMBERS, ODD, byte_rows, slices
 from docloom.session import materialize
 
 WINDOW, END = 4096, 2
@@ -40,16 +39,7 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 _CACHE_MAX = 600_000
 
-# Below U+0250 the splitting rules of the tokenizer can be stated as plain character classes.
-_PLAIN = "".join(chr(c) for c in range(0x20, 0x250) if not 0x7F <= c <= 0xA0 and c not in (0x23A, 0x23E))
-_ODD = re.compile("[^\t\n\x0b\x0c\r" + re.escape(_PLAIN) + "–—‘’“”„…•€]")
-
-
-def _of(kind: str) -> str:
-    return re.escape("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind))
-
-
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^\\s{_of('L')}{_of('N')}]+")
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
 class WordTokenizer:
@@ -96,7 +86,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
-        split = [None if _ODD.search(t) else _SPLIT.findall(t.lower()) for t in texts]
+        split = [None if ODD.search(t) else _SPLIT.findall(t.lower()) for t in texts]
         every: set[str] = set()
         for s in split:
             every.update(s or ())

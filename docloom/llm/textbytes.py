@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +19,19 @@ SLICE_BYTES = 2 << 20
 _CACHE_MAX = 400_000
 
 
+# Below U+0250 the character classes of tokenizers can be stated as plain sets.
+_PLAIN = "".join(chr(c) for c in range(0x20, 0x250) if not 0x7F <= c <= 0xA0 and c not in (0x23A, 0x23E))
+#: Finds a character for which the plain sets, or lower-casing, may not be exact.
+ODD = re.compile("[^\t\n\x0b\x0c\r" + re.escape(_PLAIN) + "–—‘’“”„…•€]")
+
+
+def _of(kind: str) -> str:
+    return re.escape("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind))
+
+
+LETTERS, NUMBERS = _of("L"), _of("N")
+
+
 def fold_words(data: bytes) -> list[bytes]:
     """Lower-cased (A-Z) runs of ASCII letters, digits and bytes from 0x80."""
     return data.translate(_FOLD).split()
