@@ -40,11 +40,22 @@ THRESHOLD, MIN_CHARS = 2, 30
 BROADCAST_ROWS = 500_000
 
 
+#: SQL for a line without blanks, tabs and carriage returns at both ends.
+_CLEAN = (
+    "IF(left(x, 1) IN (' ', '\\t', '\\r') OR endswith(x, ' ') OR endswith(x, '\\t') OR endswith(x, '\\r'), "
+    "btrim(x, ' \\t\\r'), x)"
+)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (trimmed), id (its hash; null if blank)."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim(F.translate("line", "\r\t", "  ")))
-    return rows.withColumn("id", F.when(F.col("line") != "", F.xxhash64("line")))
+    """doc_id, line_no (from 0), line (trimmed), n (its characters), id (its hash; null if blank).
+
+    All of a line's values are made ahead of the explode: columns behind it
+    are plain, so no later expression repeats that work.
+    """
+    made = f"transform(transform(split(text, '\\n'), x -> {_CLEAN}), x -> struct(x AS line, length(x) AS n, IF(x <> '', xxhash64(x), NULL) AS id))"
+    rows = docs.select("doc_id", F.posexplode(F.expr(made)).alias("line_no", "v"))
+    return rows.select("doc_id", "line_no", "v.line", "v.n", "v.id")
 
 
 def _segment(length: Column, i: int, m: int) -> tuple[Column, Column]:
@@ -56,36 +67,46 @@ def _segment(length: Column, i: int, m: int) -> tuple[Column, Column]:
 
 
 def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
-    """The index keys of a line, and the probes that aren't index keys as well."""
+    """The index keys of a line, and the probes that aren't index keys as well.
+
+    ``code`` holds the line with four bytes for each character, so that a
+    substring is found without counting characters from the start.
+    """
     own, probes = [], []
-    n = F.length("line")
+    n = F.col("n")
     for delta in range(threshold + 1):
         for i in range(threshold + 1):
             start, size = _segment(n - delta, i, threshold + 1)
             behind = threshold - i
             for shift in range(max(-i, delta - behind), min(i, delta + behind) + 1):
-                key = F.xxhash64(n - delta, F.lit(i), F.substring("line", start + shift + 1, size))
+                key = F.xxhash64(n - delta, F.lit(i), F.substring("code", (start + shift) * 4 + 1, size * 4))
                 inside = (start + shift >= 0) & (start + shift + size <= n)
                 (own if delta == shift == 0 else probes).append(F.when(inside, key))
     return own, probes
 
 
+def _let(df: DataFrame, **columns: str) -> DataFrame:
+    """Columns that are made here, once: behind a generator the optimizer doesn't write them into every place of use."""
+    return df.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(n) for n, e in columns.items())))))
+
+
 def candidates(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b): hashes of two lines that share a segment, the smaller first; each pair once."""
     own, probes = _keys(threshold)
-    long = lines.where(F.length("line") >= min_chars)
-    keyed = long.select("id", F.array(*own).alias("own"), F.array_compact(F.array(*probes)).alias("probes")).distinct()
+    long = _let(lines.where(F.col("n") >= min_chars), code="encode(line, 'UTF-32')")
+    # stored, as both sides of the join read it, and making the keys is the larger part of the work
+    keyed = materialize(long.select("id", F.array(*own).alias("own"), F.array(*probes).alias("probes")).distinct(), "keys")
     index = keyed.select("id", F.explode("own").alias("key"))
     probe = keyed.select(F.col("id").alias("other"), F.explode(F.concat("own", "probes")).alias("key"))
-    met = index.join(probe, "key").where("id <> other")
+    met = index.join(probe.where("key IS NOT NULL"), "key").where("id <> other")
     return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def _common_prefix(a: str, b: str, most: str) -> str:
     """SQL: characters that a and b have in common from the start, at most ``most``; by halving steps."""
-    steps = f"reverse(transform(sequence(0, cast(log2(greatest({most}, 1)) as int)), x -> cast(shiftleft(1, x) as int)))"
-    same = f"acc + p <= {most} AND substring({a}, acc + 1, p) = substring({b}, acc + 1, p)"
-    return f"aggregate({steps}, 0, (acc, p) -> IF({same}, acc + p, acc))"
+    steps = "reverse(transform(sequence(0, cast(log2(greatest(m, 1)) as int)), x -> cast(shiftleft(1, x) as int)))"
+    same = f"acc + p <= m AND substring({a}, acc + 1, p) = substring({b}, acc + 1, p)"
+    return f"element_at(transform(array({most}), m -> aggregate({steps}, 0, (acc, p) -> IF({same}, acc + p, acc))), 1)"
 
 
 def within(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -97,14 +118,12 @@ def within(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     k, keep = threshold, threshold + 1
     width = 2 * k + 1
     mask = (1 << width) - 1
-    p = pairs.withColumn("_short", F.expr("IF(length(ta) <= length(tb), ta, tb)"))
-    p = p.withColumn("_long", F.expr("IF(length(ta) <= length(tb), tb, ta)"))
-    p = p.withColumn("_p", F.expr(_common_prefix("_short", "_long", f"(length(_short) - {keep})")))
-    p = p.withColumn("_ra", F.expr("reverse(substring(_short, _p + 1))")).withColumn("_rb", F.expr("reverse(substring(_long, _p + 1))"))
-    p = p.withColumn("_s", F.expr(_common_prefix("_ra", "_rb", f"(length(_ra) - {keep})")))
+    p = _let(pairs, _short="IF(length(ta) <= length(tb), ta, tb)", _long="IF(length(ta) <= length(tb), tb, ta)")
+    p = _let(p, _p=_common_prefix("_short", "_long", f"(length(_short) - {keep})"))
+    p = _let(p, _ra="reverse(substring(_short, _p + 1))", _rb="reverse(substring(_long, _p + 1))")
+    p = _let(p, _s=_common_prefix("_ra", "_rb", f"(length(_ra) - {keep})"))
     # rows: the shorter text; columns: the longer one
-    p = p.withColumn("_a", F.expr("split(reverse(substring(_ra, _s + 1)), '')"))
-    p = p.withColumn("_b", F.expr("split(reverse(substring(_rb, _s + 1)), '')"))
+    p = _let(p, _a="split(reverse(substring(_ra, _s + 1)), '')", _b="split(reverse(substring(_rb, _s + 1)), '')")
     match = " + ".join(
         f"IF(j - {k} + {t} >= 1 AND get(_a, j - {k} + {t} - 1) <=> get(_b, j - 1), {1 << t}, 0)" for t in range(width)
     )
@@ -123,18 +142,18 @@ def within(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # a band whose corner is that far off can't come back under the threshold
     body = f"IF(s.d > {3 * k}, s, element_at(transform(transform(array({match}), x -> {d0}), d0 -> {step}), 1))"
     start = f"named_struct('vp', {mask & ~((1 << k) - 1)}, 'vn', 0, 'd', {k})"
-    found = p.withColumn("d", F.expr(f"aggregate(sequence(1, size(_b)), {start}, (s, j) -> {body}, s -> s.d)"))
+    found = _let(p, d=f"aggregate(sequence(1, size(_b)), {start}, (s, j) -> {body}, s -> s.d)")
     found = found.withColumn("d", F.when((F.col("d") <= k) & (F.length("_long") - F.length("_short") <= k), F.col("d")))
     return found.drop("_short", "_long", "_p", "_s", "_a", "_b", "_ra", "_rb")
 
 
 def edges(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(a, b, d): hashes of every two different lines within the threshold, and their distance."""
-    lines = lines_of(docs).select("id", "line")
+    lines = lines_of(docs).select("id", "line", "n")
     pairs = materialize(candidates(lines, threshold, min_chars), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = F.broadcast(ids) if 2 * pairs.count() <= broadcast_rows else ids
-    texts = lines.where(F.length("line") >= min_chars).join(wanted, "id", "left_semi").distinct()
+    texts = lines.where(F.col("n") >= min_chars).select("id", "line").join(wanted, "id", "left_semi").distinct()
     texts = materialize(texts, "texts")
     a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"t{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
@@ -175,7 +194,7 @@ def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     gone = line_classes(docs, threshold, min_chars).where("NOT kept")
     gone = gone.groupBy(F.struct("doc_id").alias("_key")).agg(F.collect_set(F.struct("line_no", "id")).alias("_gone"))
     rows = docs.withColumn("_key", F.struct("doc_id")).join(gone, "_key", "left")
-    clean = "xxhash64(trim(translate(x, '\\r\\t', '  ')))"
+    clean = f"xxhash64({_CLEAN})"
     stay = f"filter(split(text, '\\n'), (x, i) -> NOT array_contains(_gone, named_struct('line_no', i, 'id', {clean})))"
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr(stay), "\n"))
     out = rows.withColumn("text", text)

@@ -43,7 +43,7 @@ def test_bit_parallel_distance(spark):
 
 
 def brute(rows, threshold=2, min_chars=30):
-    lines = [(d, n, x.replace("\r", " ").replace("\t", " ").strip(" ")) for d, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
+    lines = [(d, n, x.strip(" \t\r")) for d, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
     texts = sorted({x for *_, x in lines if x})
     root = {x: x for x in texts}
     links = dict.fromkeys(texts, 0)
