@@ -1,8 +1,11 @@
 """URL filters: host word segmentation by unigram Viterbi, then multinomial naive Bayes.
 
-1. Words and their counts are gathered from the letter runs of all urls; the
-   VOCABULARY most frequent ones are the unigram model (a model size, so the
-   table that is broadcast has a bound).
+1. Words are counted where their bounds are known: runs of letters in paths,
+   in host labels of several runs, and top-level domains, each once for a host
+   (a host's own runs in its path are no evidence).  Host labels of a single
+   run are then split by those words, and their pieces are counted too, so a
+   concatenation can't vouch for itself, however many pages it has.  Of these
+   words the model holds those that stand in some host, found by lookup.
 2. Host labels are split into the most probable sequence of words (Viterbi).
 3. Naive Bayes counts segmented host words and path words of all urls in
    hashed buckets for two classes.  No url comes with a label, so the classes
@@ -20,8 +23,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from math import exp, log
 
 import numpy as np
@@ -29,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = 50_000
+from docloom.session import materialize
+
 BUCKETS = 1 << 16
-MAX_WORD = 20
 # Words of hosts that a training corpus leaves out.
 SEEDS = frozenset(
     "adult betting casino cheap cialis clickbait crack escort jackpot keygen loan lottery malware payday pharmacy "
@@ -73,16 +77,24 @@ def rule_for(host: str, path: str, rules: tuple = RULES) -> tuple[str, str] | No
     return min(fits)[1:] if fits else None
 
 
-def segment(run: str, cost: dict[str, float], unknown: float) -> list[str]:
-    """The most probable words of a letter run; an unknown word costs more with each letter."""
+def segment(run: str, cost: dict[str, float], unknown: float, sizes: Sequence[int] | None = None) -> list[str]:
+    """The most probable words of a letter run; an unknown word costs more with each letter.
+
+    sizes: the lengths of the known words, largest first.
+    """
+    if sizes is None:
+        sizes = lengths(cost)
     best, back = [0.0] * (len(run) + 1), [0] * (len(run) + 1)
+    low, origin = 0.0, 0  # the best start of an unknown word, of all so far
     for end in range(1, len(run) + 1):
-        best[end] = float("inf")
-        for start in range(max(0, end - MAX_WORD), end):
-            word = run[start:end]
-            c = best[start] + cost.get(word, unknown + 2.5 * (end - start))
-            if c < best[end]:
-                best[end], back[end] = c, start
+        best[end], back[end] = low + unknown + 2.5 * end, origin
+        for n in sizes:
+            if n <= end:
+                c = cost.get(run[end - n : end])
+                if c is not None and best[end - n] + c < best[end]:
+                    best[end], back[end] = best[end - n] + c, end - n
+        if best[end] - 2.5 * end < low:
+            low, origin = best[end] - 2.5 * end, end
     out, end = [], len(run)
     while end:
         out.append(run[back[end] : end])
@@ -90,34 +102,80 @@ def segment(run: str, cost: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
+def lengths(words: Iterable[str]) -> tuple[int, ...]:
+    return tuple(sorted(set(map(len, words)), reverse=True))
+
+
 @dataclass(frozen=True)
 class Segmenter:
     cost: dict[str, float]
     unknown: float
 
+    @cached_property
+    def sizes(self) -> tuple[int, ...]:
+        return lengths(self.cost)
+
     def tokens(self, host: str, path: str) -> tuple[list[str], list[str]]:
         """Host words and path words."""
-        words = [w for run in _RUNS.findall(host) for w in segment(run, self.cost, self.unknown)]
+        words = [w for run in _RUNS.findall(host) for w in segment(run, self.cost, self.unknown, self.sizes)]
         return words, [w.translate(_LOWER) for w in _RUNS.findall(path)]
 
 
-def fit_words(pages: DataFrame, vocabulary: int = VOCABULARY) -> Segmenter:
-    """Unigram costs from the letter runs of the hosts and paths of all urls."""
+def _inside(words: DataFrame, runs: DataFrame, whole: bool) -> DataFrame:
+    """Those of ``words`` that stand in some run (as all of it: only with ``whole``)."""
+    sizes = [r.n for r in words.select(F.length("word").alias("n")).distinct().collect()]  # lengths, not words
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter[str] = Counter()
+            for run in b.column("word").to_pylist():
+                found = {run[i : i + n] for n in sizes if n < len(run) + whole for i in range(len(run) - n + 1)}
+                yield pa.record_batch({"word": pa.array(list(found), pa.string())})
+
+    return words.join(runs.mapInArrow(cut, "word string").distinct(), "word", "left_semi")
+
+
+def fit_words(pages: DataFrame) -> Segmenter:
+    """Unigram costs from words with known bounds, and from the pieces into which they split the other runs of hosts."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(host, word, kind): 0 with known bounds, 1 the single run of a label."""
+        for b in batches:
+            found: set[tuple[str, str, int]] = set()
             for u in b.column("url").to_pylist():
                 host, path = parts(u)
-                found.update(w for w in _RUNS.findall(host + " " + path.translate(_LOWER)) if len(w) <= MAX_WORD)
+                labels = [_RUNS.findall(x) for x in host.split(".")]
+                for k, runs in enumerate(labels, 1):
+                    found.update((host, w, int(len(runs) == 1 and k < len(labels))) for w in runs)
+                own = {w for runs in labels for w in runs}
+                found.update((host, w, 0) for w in _RUNS.findall(path.translate(_LOWER)) if w not in own)
+            cols = list(zip(*found, strict=True)) if found else [(), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32()), strict=True)], ["host", "word", "kind"])
+
+    seen = pages.select("url").mapInArrow(bounded, "host string, word string, kind int").distinct()
+    counts = materialize(seen.groupBy("word", "kind").agg(F.count("*").alias("n")), "words")
+    known, runs = counts.where("kind = 0").select("word", "n"), counts.where("kind = 1").select("word", "n")
+    first = _segmenter(known, _inside(known, counts.select("word").distinct(), True))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter[str] = Counter()
+            for run, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+                for w in segment(run, first.cost, first.unknown, first.sizes):
+                    found[w] += n
             yield pa.record_batch({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    words = pages.select("url").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    split = runs.mapInArrow(pieces, "word string, n long")
+    every = materialize(known.unionByName(split).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    sure, hosts = every.join(known, "word", "left_semi"), counts.select("word").distinct()
+    new = every.join(known, "word", "left_anti")
+    # a run that stands in no other one is its own unknown word in any case
+    return _segmenter(every, _inside(sure, hosts, True).unionByName(_inside(new, hosts, False)))
+
+
+def _segmenter(words: DataFrame, held: DataFrame) -> Segmenter:
     total = words.agg(F.sum("n")).first()[0] or 1
-    # at most `vocabulary` rows
-    top = words.where("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     seeds = {w: log(total + 1) for w in SEEDS}  # a seed word is known, seen or not
-    return Segmenter(seeds | {r.word: log(total / r.n) for r in top}, log(total) + 2)
+    return Segmenter(seeds | {r.word: log(total / r.n) for r in held.collect()}, log(total) + 2)
 
 
 def _bucket(kind: str, word: str) -> int:
@@ -138,9 +196,9 @@ class UrlModel:
         return 1 / (1 + exp(-max(-60.0, min(60.0, float(s)))))
 
 
-def fit(pages: DataFrame, vocabulary: int = VOCABULARY) -> UrlModel:
+def fit(pages: DataFrame) -> UrlModel:
     """Segmenter, then class counts over all urls."""
-    seg = fit_words(pages, vocabulary)
+    seg = fit_words(pages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, urls = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)

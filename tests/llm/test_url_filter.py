@@ -72,3 +72,14 @@ def test_concatenated_host_and_odd_rows(spark):
     assert got[202].host == "" and got[202].path == "" and got[202].rule is None and got[202].verdict == "allow"
     assert U.url_verdicts(pages).count() == len(rows) and U.url_verdicts(pages.limit(0)).count() == 0
     assert np.isfinite(got[None].chance)
+
+
+def test_frequent_concatenated_hosts_are_split(spark):
+    rows = [(i, f"http://cheap-pills{i}.net/buy/{i}") for i in range(20)] + [(100 + i, f"http://green-garden{i}.net/plants") for i in range(60)]
+    rows += [(1000 + i, f"http://cheappills.net/cheappills/{i}") for i in range(3000)] + [(5000 + i, f"http://greengarden.net/plants/{i}") for i in range(3000)]
+    rows += [(9000, "http://telecommunicationsequipment.net/x"), (9001, "http://a.net/telecommunicationsequipment"), (9002, "http://casinotelecommunicationsequipment.net/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in U.url_verdicts(pages).collect()}
+    assert {(r.words, r.verdict) for i, r in got.items() if 1000 <= i < 5000} == {("cheap pills net", "block")}
+    assert {(r.words, r.verdict) for i, r in got.items() if 5000 <= i < 9000} == {("green garden net", "allow")}
+    assert got[9002].words == "casino telecommunicationsequipment net"  # a long word seen in a single path
