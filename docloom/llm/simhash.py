@@ -86,16 +86,18 @@ def fingerprints(texts: list[bytes], k: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row."""
-    kind = dict(docs.dtypes)["doc_id"]
+def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and the columns ``also`` of every row."""
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprints(byte_rows(b.column("text")), shingle).view(np.int64)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fp)})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fp)} | {c: b.column(c) for c in also})
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    more = "".join(f", {c} {kinds[c]}" for c in also)
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *also)
+    return texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, fp long{more}")
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -214,15 +216,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id.
+    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id, null ids last.
 
-    Rows that repeat that id are ties; the one with the smallest hash of all
-    columns stays.
+    Of rows that repeat that id the one with the smallest hashes of all columns
+    stays.  A row is known by its id and those hashes (128 bits), never by its
+    id alone: ids may be null or stand in several components.
     """
-    found = near_duplicates(docs, shingle, radius)
-    heads = found.select(F.struct(F.col("component_id").alias("doc_id")).alias("_key")).distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = docs.withColumn("_key", F.struct("doc_id")).join(heads, "_key", "left_semi")  # a struct equals itself, null or not
-    one = rows.groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("_row"))
+    marks = [F.xxhash64(*plain).alias("_h0"), F.xxhash64(F.lit(1), *plain).alias("_h1")]
+    table = materialize(fingerprint_table(docs.select("doc_id", "text", *marks), shingle, ("_h0", "_h1")), "fp")
+    key = F.struct("doc_id", "_h0", "_h1").alias("key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key)).alias("first")
+    roots = components(links(table, radius=radius)).withColumnRenamed("v", "fp")
+    named = table.groupBy("fp").agg(first).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    heads = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("_row"), F.struct("doc_id", *marks).alias("_key"))
+    rows = rows.join(heads, "_key", "left_semi")  # a struct equals itself, null or not
+    one = rows.groupBy("_key").agg(F.first("_row").alias("_row"))  # repeats of a whole row
     return one.select("_row.*")

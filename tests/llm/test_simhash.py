@@ -81,3 +81,14 @@ def test_components_of_a_chain_and_loops(spark):
     got = {r.v: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert len({got[i] for i in range(51)}) == 1 and got[200] == got[201] != got[0] and 100 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_row_of_each_component_stays_whatever_its_id(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(12)]
+    rows = [(None, t, "n") for t in texts[:6]] + [(None, texts[0], "n"), (None, texts[0], "n"), (None, texts[1], "other")]
+    rows += [(7, texts[6], "a"), (7, texts[7], "a"), (7, texts[7], "a"), (8, texts[8], "b"), (None, texts[8], "b"), (9, texts[8], "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.text, -1 if r.doc_id is None else r.doc_id) for r in kept.collect())
+    assert got == sorted([(t, -1) for t in texts[:6]] + [(texts[6], 7), (texts[7], 7), (texts[8], 8)])
