@@ -229,9 +229,13 @@ def line_similarity(s, d):
 
 @query()
 def prefix_dedupe(s, d):
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, 120))
-    docs = _t(s, d, "documents").select("doc_id", lines.alias("lines"))
-    return docs.select("doc_id", F.size(similarity.new_tail_udf("lines", F.slice("lines", 1, 2))).alias("n_new"))
+    """All lines of each text against all of the first text that opens with the same line; a first text is new as a whole."""
+    lines = F.split("text", "\n")
+    opening = F.get(F.filter(F.transform(lines, tx.norm_line), lambda x: x != ""), F.lit(0))
+    docs = _t(s, d, "documents").select("doc_id", lines.alias("lines"), F.md5(opening).alias("opening"))
+    first = docs.where("opening IS NOT NULL").groupBy("opening").agg(F.min(F.struct("doc_id", "lines")).alias("first"))
+    met = docs.join(first, "opening", "left").withColumn("have", F.when(F.col("first.doc_id") != F.col("doc_id"), F.col("first.lines")))
+    return met.select("doc_id", F.size(similarity.new_tail_udf(F.coalesce("lines", F.array()), F.coalesce("have", F.array()))).alias("n_new"))
 
 
 _NORM = r"lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"

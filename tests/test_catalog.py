@@ -109,3 +109,11 @@ def test_inline_marks(spark, sf001):
     got = {r.id: r.html for r in catalog.QUERIES["inline_marks"](spark, sf001).collect()}
     assert got[1] == '<b>b</b> and <i>i</i> and <code>**c**</code> <a href="u">l</a>'
     assert got[2] == "a &lt; b <s>s</s><sup>1</sup>" and got[3] == "<b><i>x</i></b>" and got[4] == ""
+
+
+def test_prefix_dedupe_takes_whole_texts(spark, tmp_path):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    texts = ["\n".join(long), "\n".join([*long, "new tail", long[0]]), "\n".join(long[1:]), "\n".join([long[0], "", long[1].replace("b7", "x7"), "other " * 40]), None, ""]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_new for r in catalog.QUERIES["prefix_dedupe"](spark, str(tmp_path)).collect()}
+    assert got == {1: 4, 2: 2, 3: 3, 4: 1, 5: 0, 6: 0}
