@@ -222,9 +222,11 @@ def anchor_clusters(s, d):
 
 @query()
 def line_similarity(s, d):
-    lines = text.raw_lines(_t(s, d, "documents")).where("line <> ''").groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.length("line").alias("n"), "line"))), 1, 2).alias("two"))
-    docs = lines.where(F.size("two") == 2).select("doc_id", F.col("two")[0]["line"].alias("a"), F.col("two")[1]["line"].alias("b"))
-    return docs.select("doc_id", F.round(similarity.overlap_udf("a", "b"), 6).alias("overlap"), F.round(similarity.ratio_udf("a", "b"), 6).alias("ratio"))
+    """Each line of a document against the next one, blank lines left out."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.struct(F.get("lines", i - 1).alias("a"), F.get("lines", i).alias("b")))
+    docs = _t(s, d, "documents").select("doc_id", lines.alias("lines")).where(F.size("lines") > 1).select("doc_id", F.posexplode(pairs).alias("n", "p"))
+    return docs.select("doc_id", "n", F.round(similarity.overlap_udf("p.a", "p.b"), 6).alias("overlap"), F.round(similarity.ratio_udf("p.a", "p.b"), 6).alias("ratio"))
 
 
 @query()

@@ -117,3 +117,12 @@ def test_prefix_dedupe_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_new for r in catalog.QUERIES["prefix_dedupe"](spark, str(tmp_path)).collect()}
     assert got == {1: 4, 2: 2, 3: 3, 4: 1, 5: 0, 6: 0}
+
+
+def test_line_similarity_takes_all_consecutive_lines(spark, tmp_path):
+    lines = ["a short one", "", "another line, " * 30, "another line, " * 29 + "changed", "short too"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "one line"), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n): (r.overlap, r.ratio) for r in catalog.QUERIES["line_similarity"](spark, str(tmp_path)).collect()}
+    kept = [x for x in lines if x]
+    want = {(1, i): (round(similarity.overlap(a, b), 6), round(SequenceMatcher(None, a, b, autojunk=False).ratio(), 6)) for i, (a, b) in enumerate(zip(kept, kept[1:]))}
+    assert got == want and len(got) == 3
