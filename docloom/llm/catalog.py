@@ -53,7 +53,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and fate of every line of every document."""
-    return line_dedup.line_classes(_t(spark, sf_dir, "documents")).drop("id")
+    return line_dedup.line_classes(_t(spark, sf_dir, "documents")).drop("id", "mark")
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

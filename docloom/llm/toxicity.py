@@ -8,8 +8,11 @@ gradients), and the L1 term keeps all but a few thousand of the 2^20 weights
 at exactly zero.  The model is shipped as the sorted indexes and values of the
 others; at most 2^20 * 12 bytes, whatever the size of the corpus.
 
+The fit reads a bounded sample (PER_CLASS documents and CLASS_BYTES of text of
+each class) in one task on an executor; only the sparse weights come back.
+
 Defined cases: a null text counts as empty; an empty text gets the score of
-the bias; without labels of both classes nothing can be learned and every
+the bias; of rows that repeat an id one is learned from; without labels of both classes nothing can be learned and every
 score is 0.0; repeated rows are scored each; other columns are never read.
 """
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.labelled import held_out, training_rows
+from docloom.llm.labelled import CLASS_BYTES, fitted, held_out, training_rows
 from docloom.llm.textbytes import WordHash, byte_rows, hashed, slices
 
 BITS = 20
@@ -101,29 +104,36 @@ def fit(
     return ToxicityModel(ids, w[ids].astype(np.float32), float(-zb / ((beta + nb**0.5) / alpha)), True)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled, not held-out documents of each class."""
-    rows, counts = training_rows(docs, labels, "toxic", per_class)
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> ToxicityModel:
+    """Fit, in one task, on at most ``per_class`` labelled, not held-out documents and ``class_bytes`` of text of each class."""
+    rows, counts = training_rows(docs, labels, "toxic", per_class, class_bytes)
+    total = sum(counts.values())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for b in batches:
             texts = byte_rows(b.column("text"))
-            x: list[bytes] = []
             for i, j in slices(texts):
                 r, f = feature_ids(*hashed(texts[i:j], cache))
                 pairs = np.unique((r << BITS) | f)
                 cut = np.searchsorted(pairs >> BITS, np.arange(1, j - i))
-                x += [p.astype(np.int32).tobytes() for p in np.split(pairs & ((1 << BITS) - 1), cut)]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "y": b.column("y"), "x": pa.array(x, pa.binary())})
+                x = [p.astype(np.int32).tobytes() for p in np.split(pairs & ((1 << BITS) - 1), cut)]
+                own = {c: b.column(c).slice(i, j - i) for c in ("doc_id", "y")}
+                yield pa.record_batch(own | {"x": pa.array(x, pa.binary())})
+
+    def run(got: list[tuple]) -> dict:
+        taken = [(np.frombuffer(x, np.int32), y) for _, y, x in got]
+        sizes = np.bincount([y for _, y in taken], minlength=2)
+        # a class weighs by its share of all label rows, though it holds another share of the sample
+        share = {y: counts.get(y, 0) / total * len(taken) / sizes[y] if sizes[y] else 1.0 for y in (0, 1)}
+        m = fit(taken, share)
+        return {"ids": m.ids.tobytes(), "values": m.values.tobytes(), "bias": m.bias, "trained": m.trained}
 
     kind = dict(rows.dtypes)["doc_id"]
-    got = sorted((r["doc_id"], r["y"], r["x"]) for r in rows.mapInArrow(run, f"doc_id {kind}, y int, x binary").collect())
-    taken = [(np.frombuffer(x, np.int32), y) for _, y, x in got]
-    total, sizes = sum(counts.values()), np.bincount([y for _, y in taken], minlength=2)
-    # a class weighs by its share of all label rows, though it holds another share of the sample
-    share = {y: counts.get(y, 0) / total * len(taken) / sizes[y] if total and sizes[y] else 1.0 for y in (0, 1)}
-    return fit(taken, share)
+    m = fitted(rows, features, f"doc_id {kind}, y int, x binary", run, "ids binary, values binary, bias double, trained boolean")
+    if m is None:
+        return fit([], {})
+    return ToxicityModel(np.frombuffer(m["ids"], np.int32), np.frombuffer(m["values"], np.float32), m["bias"], m["trained"])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
