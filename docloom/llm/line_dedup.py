@@ -13,9 +13,10 @@ relation, and the first line of each class, by doc_id and line number, stays.
 2. Distinct lines travel as their hash and key hashes, never as text; index and
    probes meet in an equi-join.
 3. A key with more than DENSE index lines (boilerplate, near copies) is refined:
-   an edit changes the parity of two characters' counts at most, so of six parts
-   of the parity word two are equal, and the key goes on with each pair of parts.
-4. Within a refined key that still holds more than DENSE lines no pairs are made
+   an edit changes the parity of two characters' counts at most, so of five parts
+   of the parity word one is equal, and the key goes on with each part; the whole
+   words are compared within the join.
+4. Within a refined key that still holds more than FULL lines no pairs are made
    at first: lines that share a string after the loss of one character are tied
    to one line of each such group, and only lines that are then still in
    different components meet, the largest component of a key on one side.
@@ -36,8 +37,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +44,12 @@ from docloom.llm.components import components
 from docloom.session import materialize
 
 THRESHOLD, SIMILARITY = 2, 0.9
-#: Index lines of a key beyond which it is refined.
-DENSE = 8
+#: Index lines of a key beyond which it is refined, and of a refined key beyond which its lines are tied first.
+DENSE, FULL = 8, 64
 #: Hashes of candidate lines that are broadcast at most (8 bytes each).
 BROADCAST_ROWS = 500_000
-#: Parts of a parity word: of PARTS, 2 * THRESHOLD changed bits leave two alone.
-_PARTS = 2 * THRESHOLD + 2
+#: Parts of a parity word: 2 * THRESHOLD changed bits leave one alone.
+_PARTS = 2 * THRESHOLD + 1
 
 #: SQL for a line without blanks, tabs and carriage returns at both ends.
 _CLEAN = (
@@ -127,8 +126,8 @@ def _parity() -> str:
 
 
 def _refined(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, parity) with ``key`` continued by each pair of parts of the parity word."""
-    masks = [sum(1 << b for b in range(64) if b % _PARTS in two) for two in combinations(range(_PARTS), 2)]
+    """``rows`` (key, parity) with ``key`` continued by each part of the parity word."""
+    masks = [sum(1 << b for b in range(64) if b % _PARTS == k) for k in range(_PARTS)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.xxhash64("key", F.lit(k), F.col("parity").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
     return rows.withColumn("key", F.explode(keys))
@@ -188,8 +187,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int, similarity: fl
 
 
 def edges(
-    docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, dense: int = DENSE, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+    docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, dense: int = DENSE, full: int = FULL,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """(a, b, a2, b2, d): hashes of near-duplicate lines and their distance.
 
     The components of these pairs are those of all pairs of near-duplicates;
@@ -216,13 +216,13 @@ def edges(
     parity = materialize(held.select("id", F.expr(_parity()).alias("parity")).groupBy("id").agg(F.min("parity").alias("parity")), "parity")
     index = materialize(_refined(index.join(parity, "id")), "hot")
     probe = _refined(probe.join(parity.withColumnRenamed("id", "other"), "other"))
-    full = _dense(index, dense)
+    many = _dense(index, full)
     other = probe.withColumnRenamed("parity", "parity2")
-    met = index.join(full, "key", "left_anti").join(other, "key").where((F.col("id") != F.col("other")) & _near(threshold))
+    met = index.join(many, "key", "left_anti").join(other, "key").where((F.col("id") != F.col("other")) & _near(threshold))
     pairs = pairs.unionByName(_pairs(met))
-    if full.isEmpty():
+    if many.isEmpty():
         return _verified(materialize(pairs.distinct(), "pairs"), held, threshold, similarity)
-    index, probe = (materialize(x.join(full, "key", "left_semi"), "full") for x in (index, probe))
+    index, probe = (materialize(x.join(many, "key", "left_semi"), "full") for x in (index, probe))
     tied = _ties(held.join(index.select("id").unionByName(probe.select(F.col("other").alias("id"))).distinct(), "id", "left_semi"))
     ties = materialize(_verified(tied, held, threshold, similarity), "ties")
     across = _across(index, probe, components(ties.select("a", "b")), threshold)
@@ -285,19 +285,20 @@ def _half(v: str, k: int) -> Column:
 
 
 def line_classes(
-    docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, dense: int = DENSE, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+    docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, dense: int = DENSE, full: int = FULL,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """doc_id, line_no, id, class_doc_id, class_line_no, kept of every line, and its text's hash (mark)."""
-    found = edges(docs, threshold, similarity, dense, broadcast_rows).select(_vertex("a", "a2").alias("a"), _vertex("b", "b2").alias("b"))
+    found = edges(docs, threshold, similarity, dense, full, broadcast_rows).select(_vertex("a", "a2").alias("a"), _vertex("b", "b2").alias("b"))
     roots = components(found).select(
         _half("v", 0).alias("id"), _half("v", 1).alias("id2"), _half("root", 0).alias("root"), _half("root", 1).alias("root2")
     )
     every = lines_of(docs).select("doc_id", "mark", "line_no", "id", "id2")
-    full = every.where("id IS NOT NULL").join(roots, ["id", "id2"], "left")
-    full = full.withColumn("class", F.coalesce("root", "id")).withColumn("class2", F.coalesce("root2", "id2"))
+    rows = every.where("id IS NOT NULL").join(roots, ["id", "id2"], "left")
+    rows = rows.withColumn("class", F.coalesce("root", "id")).withColumn("class2", F.coalesce("root2", "id2"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    first = full.groupBy("class", "class2").agg(F.min(place).alias("first"))
-    full = full.join(first, ["class", "class2"]).select(
+    first = rows.groupBy("class", "class2").agg(F.min(place).alias("first"))
+    rows = rows.join(first, ["class", "class2"]).select(
         "doc_id", "mark", "line_no", "id",
         F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"),
         (place == F.col("first")).alias("kept"),
@@ -306,7 +307,7 @@ def line_classes(
         "doc_id", "mark", "line_no", "id", F.col("doc_id").alias("class_doc_id"), F.col("line_no").alias("class_line_no"),
         F.lit(True).alias("kept"),
     )
-    return full.unionByName(blank)
+    return rows.unionByName(blank)
 
 
 def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY) -> DataFrame:
