@@ -16,6 +16,15 @@
    dense group of n texts costs n rows and not n squared.
 5. Components by contraction over the forests.
 
+:func:`keep_one` takes a similarity (Jaccard of the shingle sets) instead of a
+radius.  Its fingerprints have 128 bits (XXH3), and the radius is the number of
+bits in which texts of that similarity are expected to differ, and a standard
+deviation more (23 bits at 0.8).  No segment
+scheme finds so wide a radius exactly, so its CELLS cells are random choices of
+CELL_BITS bits: texts of similarity s agree in a bit with chance
+p = 1 - acos(2s / (1 + s)) / pi and meet with chance 1 - (1 - p^CELL_BITS)^CELLS
+(0.84, 0.96, 0.997 at 0.8, 0.85, 0.9); tiles and forests are the same.
+
 Defined cases: a null or blank text has fingerprint zero, which links like any
 other; repeated rows share class and component; a component whose ids are all
 null has a null id; an empty table gives an empty result; other columns are
@@ -26,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +53,23 @@ TILE = 2048
 #: (lowest bit, bits) of the six segments.
 _SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 _HASHES = 1 << 16
+#: Of keep_one: words of a shingle, similarity, bits of a fingerprint, cells of each fingerprint and bits of a cell.
+STAGE_SHINGLE, SIMILARITY, WIDE, CELLS, CELL_BITS = 5, 0.8, 128, 48, 20
 
 
-def fingerprints(texts: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """The unsigned fingerprint of each text."""
-    out = np.zeros(len(texts), np.uint64)
-    h64, hashes, owner, size = xxhash.xxh64_intdigest, [], [], 0
-    votes = np.zeros((len(texts), 64), np.int64)
+def fingerprints(texts: list[bytes], k: int = SHINGLE, bits: int = 64) -> np.ndarray:
+    """The unsigned fingerprint of each text; of 128 bits: two numbers each."""
+    digest = xxhash.xxh64_digest if bits == 64 else xxhash.xxh3_128_digest
+    hashes, owner, size = [], [], 0
+    votes = np.zeros((len(texts), bits), np.int64)
     totals = np.zeros(len(texts), np.int64)
 
     def count() -> None:
         if not owner:
             return
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        each = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(len(hashes), -1), axis=1)
         starts = np.cumsum([0, *(n for _, n in owner[:-1])])
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        sums = np.add.reduceat(each, starts, axis=0, dtype=np.int64)
         for (i, n), s in zip(owner, sums, strict=True):
             votes[i] += s
             totals[i] += n
@@ -74,7 +86,7 @@ def fingerprints(texts: list[bytes], k: int = SHINGLE) -> np.ndarray:
         spans = list(zip(first.tolist(), ends[min(k, len(words)) - 1 :].tolist(), strict=True))
         for lo in range(0, len(spans), _HASHES):  # a very long text is counted piece by piece
             part = spans[lo : lo + _HASHES]
-            hashes += [h64(joined[a:b], seed=SEED) for a, b in part]
+            hashes += [digest(joined[a:b], seed=SEED) for a, b in part]
             owner.append((i, len(part)))
             size += len(part)
             if size >= _HASHES:
@@ -82,26 +94,27 @@ def fingerprints(texts: list[bytes], k: int = SHINGLE) -> np.ndarray:
                 size = 0
     count()
     on = votes * 2 > totals[:, None]
-    out[:] = np.packbits(on, axis=1).view(">u8").ravel()
-    return out
+    out = np.packbits(on, axis=1).view(">u8").astype(np.uint64)
+    return out.ravel() if bits == 64 else out
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) and the columns ``also`` of every row."""
+def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = (), bits: int = 64) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long, of 128 bits as bytes) and the columns ``also`` of every row."""
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints(byte_rows(b.column("text")), shingle).view(np.int64)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fp)} | {c: b.column(c) for c in also})
+            fp = fingerprints(byte_rows(b.column("text")), shingle, bits)
+            own = pa.array(fp.view(np.int64)) if bits == 64 else pa.array([x.tobytes() for x in fp], pa.binary())
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": own} | {c: b.column(c) for c in also})
 
     more = "".join(f", {c} {kinds[c]}" for c in also)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *also)
-    return texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, fp long{more}")
+    return texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, fp {'long' if bits == 64 else 'binary'}{more}")
 
 
 def _cells(fps: DataFrame) -> DataFrame:
-    """(cell, fp): a cell for each pair of segments, named by the pair's number and the bits of both."""
+    """(cell, pop, fp): a cell for each pair of segments, named by the pair's number and the bits of both."""
 
     def bits(lo: int, n: int):
         return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1))
@@ -109,19 +122,53 @@ def _cells(fps: DataFrame) -> DataFrame:
     pairs = [
         F.lit(i << 40) + F.shiftleft(bits(*a), 20) + bits(*b) for i, (a, b) in enumerate(combinations(_SEGMENTS, 2))
     ]
-    return fps.select(F.explode(F.array(*pairs)).alias("cell"), "fp")
+    return fps.select(F.explode(F.array(*pairs)).alias("cell"), F.bit_count("fp").alias("pop"), "fp")
+
+
+def chosen_bits(cells: int = CELLS, bits: int = CELL_BITS, width: int = WIDE) -> np.ndarray:
+    """The bits of each cell, (cells, bits)."""
+    rng = np.random.default_rng(5)
+    return np.stack([rng.choice(width, bits, replace=False) for _ in range(cells)])
+
+
+def _random_cells(fps: DataFrame) -> DataFrame:
+    """(cell, pop, fp): a cell for each choice of bits, named by its number and those bits."""
+    chosen = chosen_bits()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                fp = b.column("fp").slice(lo, 2000)
+                on = np.unpackbits(_array(fp).view(np.uint8).reshape(len(fp), -1), axis=1)
+                name = np.zeros((len(fp), len(chosen)), np.int64)
+                for i in range(chosen.shape[1]):
+                    name = name << 1 | on[:, chosen[:, i]]
+                name |= np.arange(len(chosen)) << 40
+                row = np.repeat(np.arange(len(fp)), len(chosen))
+                pop = on.sum(1, dtype=np.int32)
+                yield pa.record_batch([pa.array(name.ravel()), pa.array(pop[row]), fp.take(pa.array(row))], ["cell", "pop", "fp"])
+
+    return fps.mapInArrow(run, "cell long, pop int, fp binary")
+
+
+def _array(fp: pa.Array) -> np.ndarray:
+    """A column of fingerprints as (rows, 64-bit numbers of each)."""
+    if pa.types.is_int64(fp.type):
+        return fp.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+    data = b"".join(fp.to_pylist())
+    return np.frombuffer(data, np.uint64).reshape(len(fp), -1)
 
 
 def _tile_pairs(cells: DataFrame, tile: int, radius: int) -> DataFrame:
     """(cell, tiles, side, fp): the rows of each pair of tiles; side 0 and 1 are compared with each other, 2 with itself."""
-    by_pop = cells.groupBy("cell", F.bit_count("fp").alias("pop")).agg(F.count("*").alias("n"))
+    by_pop = cells.groupBy("cell", "pop").agg(F.count("*").alias("n"))
     sizes = by_pop.groupBy("cell").agg(
         F.sum("n").alias("total"),
         F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int").alias("parts")))).alias(
             "parts"
-        ),  # at most 65 entries
+        ),  # an entry for each population count at most
     )
-    rows = cells.join(sizes.where("total > 1"), "cell").withColumn("pop", F.bit_count("fp"))
+    rows = cells.join(sizes.where("total > 1"), "cell")
     small = rows.where(F.col("total") <= tile).select(
         "cell", F.lit(-1).cast("long").alias("tiles"), F.lit(2).alias("side"), "fp"
     )
@@ -133,7 +180,7 @@ def _tile_pairs(cells: DataFrame, tile: int, radius: int) -> DataFrame:
     me, other = F.struct(F.col("pop").alias("p"), "i"), F.struct(F.col("q").alias("p"), F.col("j").alias("i"))
     lo, hi = F.least(me, other), F.greatest(me, other)
     tiles = F.lit(0).cast("long")
-    for part, width in ((lo["p"], 7), (hi["p"], 7), (lo["i"], 24), (hi["i"], 24)):
+    for part, width in ((lo["p"], 8), (hi["p"], 8), (lo["i"], 23), (hi["i"], 23)):
         tiles = F.shiftleft(tiles, width) + part
     big = near.select(
         "cell", tiles.alias("tiles"), F.when(me == other, 2).when(me < other, 0).otherwise(1).alias("side"), "fp"
@@ -155,50 +202,64 @@ def _label(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int, step: int = 256) -> np.ndarray:
-    """Edges (n, 2) that connect what links of at most ``radius`` bits connect; b None: within a."""
-    both = a if b is None else np.concatenate((a, b))
-    labels = np.arange(len(both))
+    """Edges, as (n, 2) rows of a and b laid end to end, that connect what links of at most ``radius`` bits connect; b None: within a.
+
+    a and b: fingerprints as rows of 64-bit numbers.
+    """
+    labels = np.arange(len(a) + (0 if b is None else len(b)))
     right, shift = (a, 0) if b is None else (b, len(a))
     for i in range(0, len(a), step):
-        close = np.bitwise_count(a[i : i + step, None] ^ right[None, :]) <= radius
-        u, v = np.nonzero(close)
+        far = np.zeros((len(a[i : i + step]), len(right)), np.uint8)
+        for w in range(a.shape[1]):
+            far += np.bitwise_count(a[i : i + step, w, None] ^ right[None, :, w])
+        u, v = np.nonzero(far <= radius)
         labels = _label(labels, u + i, v + shift)
-    moved = np.flatnonzero(labels != np.arange(len(both)))
-    return np.stack((both[moved], both[labels[moved]]), axis=1)
+    moved = np.flatnonzero(labels != np.arange(len(labels)))
+    return np.stack((moved, labels[moved]), axis=1)
 
 
 def links(fps: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of fingerprints within ``radius`` bits."""
+    """Edges (a, b) of fingerprints; of 64 bits their components are those of all pairs within ``radius`` bits."""
+    wide = fps.schema["fp"].dataType.simpleString() == "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.Table] = []
 
         def work() -> pa.RecordBatch:
-            cell, tiles, side, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = pa.concat_tables(held).combine_chunks()
+            cell, tiles, side = (rows.column(c).to_numpy() for c in ("cell", "tiles", "side"))
+            fp = rows.column("fp").combine_chunks()
+            numbers = _array(fp)
             cut = np.flatnonzero((cell[1:] != cell[:-1]) | (tiles[1:] != tiles[:-1])) + 1
-            edges = [np.empty((0, 2), np.uint64)]
-            for s, f in zip(np.split(side, cut), np.split(fp.view(np.uint64), cut), strict=True):
-                edges.append(forest(f, None, radius) if s[0] == 2 else forest(f[s == 0], f[s == 1], radius))
-            e = np.concatenate(edges).view(np.int64)
+            edges = [np.empty((0, 2), np.int64)]
+            for which in np.split(np.arange(len(cell)), cut):
+                s = side[which]
+                parts = (which,) if s[0] == 2 else (which[s == 0], which[s == 1])
+                order = np.concatenate(parts)
+                found = forest(numbers[parts[0]], numbers[parts[1]] if len(parts) > 1 else None, radius)
+                edges.append(order[found])
+            e = np.concatenate(edges)
             held.clear()
-            return pa.record_batch({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
+            return pa.record_batch({"a": fp.take(pa.array(e[:, 0])), "b": fp.take(pa.array(e[:, 1]))})
 
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "tiles", "side", "fp")]
-            if not len(rows[0]):
+            if not batch.num_rows:
                 continue
-            before = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            rows = pa.Table.from_batches([batch])
+            cell, tiles = batch.column("cell").to_numpy(), batch.column("tiles").to_numpy()
+            before = np.flatnonzero((cell != cell[-1]) | (tiles != tiles[-1]))
             whole = before[-1] + 1 if len(before) else 0  # the last pair of tiles may go on in the next batch
             if whole:
-                held.append(tuple(x[:whole] for x in rows))
+                held.append(rows.slice(0, whole))
                 yield work()
-            held.append(tuple(x[whole:] for x in rows))
+            held.append(rows.slice(whole))
         if held:
             yield work()
 
-    jobs = _tile_pairs(_cells(fps.select("fp").distinct()), tile, radius)
+    one = fps.select("fp").distinct()
+    jobs = _tile_pairs(_random_cells(one) if wide else _cells(one), tile, radius)
     jobs = jobs.repartition("cell", "tiles").sortWithinPartitions("cell", "tiles")
-    return jobs.mapInArrow(run, "a long, b long")
+    return jobs.mapInArrow(run, "a binary, b binary" if wide else "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -215,8 +276,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id, null ids last.
+def radius_of(similarity: float, bits: int = WIDE) -> int:
+    """Bits in which fingerprints of texts of this similarity are expected to differ, and a standard deviation more."""
+    differ = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    return round(bits * differ + (bits * differ * (1 - differ)) ** 0.5)
+
+
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each component of texts of at least ``similarity``, with all its columns: that of the smallest doc_id, null ids last.
 
     Of rows that repeat that id the one with the smallest hashes of all columns
     stays.  A row is known by its id and those hashes (128 bits), never by its
@@ -224,10 +291,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     """
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     marks = [F.xxhash64(*plain).alias("_h0"), F.xxhash64(F.lit(1), *plain).alias("_h1")]
-    table = materialize(fingerprint_table(docs.select("doc_id", "text", *marks), shingle, ("_h0", "_h1")), "fp")
+    table = materialize(fingerprint_table(docs.select("doc_id", "text", *marks), shingle, ("_h0", "_h1"), WIDE), "fp")
     key = F.struct("doc_id", "_h0", "_h1").alias("key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key)).alias("first")
-    roots = components(links(table, radius=radius)).withColumnRenamed("v", "fp")
+    roots = components(links(table, radius=radius_of(similarity))).withColumnRenamed("v", "fp")
     named = table.groupBy("fp").agg(first).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
     names = [F.col(f"`{c}`") for c in docs.columns]
