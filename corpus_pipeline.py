@@ -36,7 +36,7 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """Of each group of documents whose five-word shingles are similar by 0.8 or more, one stays."""
     ship(spark)
     return simhash.keep_one(docs)
 
