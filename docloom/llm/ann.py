@@ -63,7 +63,9 @@ class Hasher:
 
     def slots(self, x: np.ndarray) -> np.ndarray:
         """Positions in slot widths: (rows, tables, hashes); their floors are the slots."""
-        return np.einsum("nd,thd->nth", x, self.a) / self.width + self.b
+        with np.errstate(over="ignore", invalid="ignore"):
+            at = np.einsum("nd,thd->nth", x, self.a) / self.width + self.b
+        return np.nan_to_num(at, nan=0.0, posinf=2.0**52, neginf=-(2.0**52)).clip(-(2.0**52), 2.0**52)
 
 
 def fit(vectors: DataFrame, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, sample: int = SAMPLE) -> dict[int, Hasher]:
@@ -75,11 +77,13 @@ def fit(vectors: DataFrame, tables: int = TABLES, hashes: int = HASHES, width: f
         x = np.array([r.vec for r in got if len(r.vec) == n])
         near = 1.0
         if len(x) > 1:
+            x = x * (big := _scale(x))
             probe = x[:200]
             d = ((probe**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * probe @ x.T).clip(0)
             d[d < 1e-12] = np.inf
             best = d.min(1)
-            near = float(np.sqrt(np.median(best[np.isfinite(best)]))) if np.isfinite(best).any() else 1.0
+            near = float(np.sqrt(np.median(best[np.isfinite(best)]))) / big if np.isfinite(best).any() else 1.0
+            near = near if 0 < near < np.inf else 1.0
         rng = np.random.default_rng(n)
         out[n] = Hasher(rng.standard_normal((tables, hashes, n)), rng.random((tables, hashes)), width * near)
     return out
@@ -154,6 +158,25 @@ def _hashed(rows: DataFrame, hashers: dict[int, Hasher], probes: int, blocks: in
     return rows.mapInArrow(run, "block long, id long, ids array<long>, vec binary, buckets array<long>")
 
 
+def _scale(*vectors: np.ndarray) -> float:
+    """A power of two that keeps squares of these numbers finite; 1 unless they are huge."""
+    most = max((float(np.abs(v).max(initial=0.0)) for v in vectors), default=0.0)
+    return 1.0 if most < 1e150 else 2.0 ** (-int(np.log2(most)) - 2)
+
+
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to a vector; where squares leave the range of doubles, by way of the largest difference."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.sqrt(((x - q) ** 2).sum(1))
+    odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-150))
+    if len(odd):
+        half = x[odd] / 2 - q / 2
+        most = np.abs(half).max(1)
+        with np.errstate(over="ignore"):
+            out[odd] = np.sqrt(((half / np.where(most > 0, most, 1)[:, None]) ** 2).sum(1)) * most * 2
+    return out
+
+
 def nearest_in_block(
     q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int, met: np.ndarray | None = None
 ) -> list[tuple[int, int, float]]:
@@ -163,6 +186,8 @@ def nearest_in_block(
     """
     out: list[tuple[int, int, float]] = []
     lists = [np.array(i, np.int64) for i in ids]
+    plain, wanted, scale = x, q, _scale(q, x)
+    q, x = q * scale, x * scale
     square = (x**2).sum(1)
     for lo in range(0, len(q), 256):
         part = q[lo : lo + 256]
@@ -174,7 +199,7 @@ def nearest_in_block(
             near = np.flatnonzero((d <= edge + 1e-9 * (1 + abs(edge))) & (d < np.inf))
             if not len(near):
                 continue
-            exact = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
+            exact = _distances(plain[near], wanted[lo + i])
             flat = np.concatenate([lists[r] for r in near])
             dist = np.repeat(exact, [len(lists[r]) for r in near])
             flat, dist = flat[flat != q_ids[lo + i]], dist[flat != q_ids[lo + i]]

@@ -13,9 +13,10 @@
    vocabulary has, so it can be sent to every task) and concatenates.
 
 The texts are split twice, once for the words and once for the sequences, as
-that costs less than to store both.  The two passes must see the same blocks:
-``docs`` has to be a stable scan, such as a Parquet table; a checksum of each
-block's words is compared, and a difference raises an error.
+that costs less than to store both.  The two passes must see the same blocks,
+which a scan of files gives; anything else is stored first.  A block is named by
+its partition, its number there and a hash of its texts, so blocks of equal
+texts (empty ones, say) are as many groups.
 
 Defined cases: a null text counts as empty; an empty text has no ids and
 decodes to no bytes; repeated rows are encoded each; other columns are never
@@ -43,6 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from docloom.llm.textbytes import LETTERS, NUMBERS, ODD, byte_rows, slices
+from docloom.session import materialize
 
 #: Bytes of text in a block (one document at least), and of text for each bucket of words.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
@@ -128,22 +130,33 @@ def _blocks(
 ) -> Iterator[tuple[int, pa.RecordBatch, list[list[str]], list[bytes], np.ndarray, np.ndarray]]:
     """(block, its rows, their pre-tokens, its distinct words in order of bucket, their hashes, each word's new number)."""
     find = splitter(pattern)
+    block = 0
     for b in batches:
         raw = byte_rows(b.column("text"))
+        part = b.column("part")[0].as_py() if b.num_rows else 0
         for i, j in slices(raw, size):
+            block += 1
             words = [find(t.decode("utf-8", "replace")) for t in raw[i:j]]
             distinct = [w.encode() for w in dict.fromkeys(chain.from_iterable(words))]
             hashes = np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct))
             order = np.argsort(hashes % buckets, kind="stable")
             number = np.empty(len(order), np.int64)
             number[order] = np.arange(len(order))
-            name = xxhash.xxh64()  # a block is named by what it holds, so both passes give it the same name
+            name = xxhash.xxh64(part.to_bytes(8) + block.to_bytes(8))
             for t in raw[i:j]:
                 name.update(len(t).to_bytes(8))
                 name.update(t)
             yield name.intdigest() >> 1, b.slice(i, j - i), words, [distinct[x] for x in order], hashes[order], number
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the rows are read from files alone, and so come in the same order to each pass."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName().startswith("Relation") or "LogicalRelation" in plan.nodeName()
+
+
 def _sum(hashes: np.ndarray) -> bytes:
     """A checksum of words that adds up over buckets."""
     return np.array([int(hashes.sum()) + (len(hashes) << 33)], "<i8").tobytes()
@@ -158,6 +171,8 @@ def encode(
     head = to_arrow_schema(StructType([StructField("doc_id", type_), StructField("n", LongType())]))
     finish = finish or (lambda ids: {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))})
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = texts if _is_scan(texts) else materialize(texts, "texts")
+    texts = texts.withColumn("part", F.spark_partition_id())  # that of the scan, on both sides of the union
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BUCKET_BYTES))
 

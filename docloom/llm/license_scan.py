@@ -8,9 +8,11 @@
 3. Each match votes for the diagonal (place in the text minus place in the
    template); votes are counted for each text, template and diagonal.
 4. Neighbouring diagonals of a template are merged: words put in or left out
-   shift the rest of a notice by a few places.
+   shift the rest of a notice by a few places.  Each diagonal is merged with
+   those within SHIFT of it and no others, so what it holds lies within the
+   template's length and SHIFT words, however often a notice is repeated.
 5. A merged span counts if the share of the template's grams that it holds,
-   each once, is at least COVER, and as many grams lie within its own length.
+   each once, is at least COVER.  Spans that count and are neighbours are one.
    The phrases need all of their grams on one diagonal.
 
 Defined cases: a null text counts as empty; an empty text has no words, no
@@ -111,23 +113,27 @@ def grams(docs: DataFrame, wanted: list[int]) -> DataFrame:
         for b in batches:
             texts = byte_rows(b.column("text"))
             for i, j in slices(texts, SLICE_BYTES):
-                sizes, hits = [], []
+                sizes, ends, grams_ = [], [0], []
+                hashes, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for t in texts[i:j]:
                     words = fold_words(t)
                     h = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-                    own = []
                     for k in (K_BASE, K):
                         g = gram_hashes(h, k)
-                        for at in np.flatnonzero(bitmap[(g >> np.uint64(64 - _BITS)).astype(np.int64)]).tolist():
-                            own.append((int(g[at : at + 1].view(np.int64)[0]), b" ".join(words[at : at + k]).decode("utf-8", "replace"), at))
+                        at = np.flatnonzero(bitmap[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
+                        hashes.append(g[at].view(np.int64))
+                        places.append(at)
+                        grams_ += [b" ".join(words[x : x + k]).decode("utf-8", "replace") for x in at.tolist()]
                     sizes.append(len(words))
-                    hits.append([dict(zip(("hash", "gram", "place"), x, strict=True)) for x in own])
+                    ends.append(len(grams_))
+                every = [pa.array(np.concatenate(hashes)), pa.array(grams_, pa.string()), pa.array(np.concatenate(places).astype(np.int64))]
+                hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(every, fields=list(struct)))
                 yield pa.record_batch(
                     {
                         "doc_id": b.column("doc_id").slice(i, j - i),
                         "row": b.column("row").slice(i, j - i),
                         "n_words": pa.array(sizes, pa.int64()),
-                        "hits": pa.array(hits, pa.list_(struct)),
+                        "hits": hits,
                     }
                 )
 
@@ -159,19 +165,19 @@ def spans(docs: DataFrame) -> DataFrame:
     )
     # a frequent phrase may fill a text with diagonals: each is one row, and rows are numbered by text
     by = Window.partitionBy("row", "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(by)
-    begins = F.when(F.col("base") | gap.isNull() | (gap > SHIFT), 1).otherwise(0)
-    runs = votes.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by))
-    merged = runs.groupBy("row", "template", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"),
-        F.first("base").alias("base"), F.first("grams").alias("grams"), F.min("first").alias("first_word"),
-        F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"),
+    near = by.rangeBetween(-SHIFT, SHIFT)
+    held = F.when(F.col("base"), F.size("places")).otherwise(F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near)))))
+    first = F.when(F.col("base"), F.col("first")).otherwise(F.min("first").over(near))
+    tried = votes.withColumn("share", held / F.col("grams")).withColumn("first_word", first)
+    right = tried.withColumn("right", F.col("share") >= F.when(F.col("base"), 1.0).otherwise(COVER))
+    last = F.last(F.when(F.col("right"), F.col("diagonal")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.col("right") & (F.col("base") | last.isNull() | (F.col("diagonal") - last > SHIFT))
+    runs = right.withColumn("begins", F.coalesce(begins.cast("int"), F.lit(0))).withColumn("run", F.sum("begins").over(by))
+    return runs.groupBy("row", "template", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first(F.when(F.col("right"), F.col("label")), True).alias("label"),
+        F.first(F.when(F.col("right"), F.col("base")), True).alias("base"), F.min(F.when(F.col("right"), F.col("first_word"))).alias("first_word"),
+        F.max(F.when(F.col("right"), F.col("share"))).alias("share"),
     )
-    share = F.col("held") / F.col("grams")
-    dense = F.col("last") - F.col("first_word") <= F.col("grams") + 2 * SHIFT
-    right = F.when(F.col("base"), F.col("held") == F.col("grams")).otherwise((share >= COVER) & dense)
-    keep = [F.when(right, F.col(c)).alias(c) for c in ("label", "base", "first_word")]
-    return merged.select("doc_id", "row", "n_words", *keep, F.when(right, share).alias("share"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

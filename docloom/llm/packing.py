@@ -299,7 +299,9 @@ def pack(
     full = rows.where("sequence_id is not null").select("doc_id", *(c.split()[0] for c in _PIECE.split(", ")))
     if with_ids:
         whole = _full_windows(docs, path, window, end)
-        full = full.join(whole, ["doc_id", "start", "ids_crc32", "doc_tokens"]).select(*packed.columns)
+        named = full.withColumn("_key", F.struct("doc_id", "start", "ids_crc32", "doc_tokens"))  # a struct equals itself, null or not
+        whole = whole.select(F.struct("doc_id", "start", "ids_crc32", "doc_tokens").alias("_key"), "ids")
+        full = named.join(whole, "_key").select(*packed.columns)
     return full.unionByName(packed)
 
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.textbytes import byte_rows
+from docloom.llm.textbytes import text_slices
 from docloom.session import materialize
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -104,9 +104,10 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints(byte_rows(b.column("text")), shingle, bits)
-            own = pa.array(fp.view(np.int64)) if bits == 64 else pa.array([x.tobytes() for x in fp], pa.binary())
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": own} | {c: b.column(c) for c in also})
+            for part, rows in text_slices(b):
+                fp = fingerprints(rows, shingle, bits)
+                own = pa.array(fp.view(np.int64)) if bits == 64 else pa.array([x.tobytes() for x in fp], pa.binary())
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": own} | {c: part.column(c) for c in also})
 
     more = "".join(f", {c} {kinds[c]}" for c in also)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *also)
@@ -156,7 +157,7 @@ def _array(fp: pa.Array) -> np.ndarray:
     if pa.types.is_int64(fp.type):
         return fp.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
     data = b"".join(fp.to_pylist())
-    return np.frombuffer(data, np.uint64).reshape(len(fp), -1)
+    return np.frombuffer(data, np.uint64).reshape(len(fp), len(data) // 8 // max(1, len(fp)))
 
 
 def _tile_pairs(cells: DataFrame, tile: int, radius: int) -> DataFrame:
@@ -168,12 +169,12 @@ def _tile_pairs(cells: DataFrame, tile: int, radius: int) -> DataFrame:
             "parts"
         ),  # an entry for each population count at most
     )
-    rows = cells.join(sizes.where("total > 1"), "cell")
-    small = rows.where(F.col("total") <= tile).select(
+    hot = materialize(sizes.where(F.col("total") > tile), "hot")  # a cell of so many rows each: few
+    small = cells.join(hot.select("cell"), "cell", "left_anti").select(
         "cell", F.lit(-1).cast("long").alias("tiles"), F.lit(2).alias("side"), "fp"
     )
     own = F.pmod(F.xxhash64("fp"), F.element_at("parts", F.col("pop"))).cast("int")
-    big = rows.where(F.col("total") > tile).withColumn("i", own)
+    big = cells.join(hot, "cell").withColumn("i", own)
     near = big.withColumn(
         "q", F.explode(F.filter(F.map_keys("parts"), lambda q: F.abs(q - F.col("pop")) <= radius))
     ).withColumn("j", F.explode(F.sequence(F.lit(0), F.element_at("parts", F.col("q")) - 1)))
@@ -227,12 +228,14 @@ def links(fps: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
 
         def work() -> pa.RecordBatch:
             rows = pa.concat_tables(held).combine_chunks()
-            cell, tiles, side = (rows.column(c).to_numpy() for c in ("cell", "tiles", "side"))
-            fp = rows.column("fp").combine_chunks()
+            cell, tiles = rows.column("cell").to_numpy(), rows.column("tiles").to_numpy()
+            new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (tiles[1:] != tiles[:-1]), [True]))
+            some = np.flatnonzero(~(new[1:] & new[:-1]))  # without rows that are alone
+            cut = np.flatnonzero(new[:-1][some])[1:]
+            side, fp = rows.column("side").to_numpy()[some], rows.column("fp").combine_chunks().take(pa.array(some))
             numbers = _array(fp)
-            cut = np.flatnonzero((cell[1:] != cell[:-1]) | (tiles[1:] != tiles[:-1])) + 1
             edges = [np.empty((0, 2), np.int64)]
-            for which in np.split(np.arange(len(cell)), cut):
+            for which in np.split(np.arange(len(some)), cut) if len(some) else ():
                 s = side[which]
                 parts = (which,) if s[0] == 2 else (which[s == 0], which[s == 1])
                 order = np.concatenate(parts)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that end a word: ASCII other than letters and digits become a blank, A-Z become a-z.
 _FOLD = bytes(
@@ -16,7 +17,7 @@ _FOLD = bytes(
 )
 #: A batch is worked off in slices of at most so many bytes of text (one row at least).
 SLICE_BYTES = 2 << 20
-_CACHE_MAX = 400_000
+_CACHE_MAX = 200_000
 
 
 # Below U+0250 the character classes of tokenizers can be stated as plain sets.
@@ -58,6 +59,21 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in slices of at most ``most`` bytes of its column ``text``, one row at least, and the texts of each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > most:
+            part = batch.slice(start, i - start)
+            yield part, byte_rows(part.column("text"))
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        part = batch.slice(start)
+        yield part, byte_rows(part.column("text"))
+
+
 class WordHash(dict):
     """word -> its 32-bit hash, above it that of its stem (the first STEM characters); computed once while cached."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.labelled import CLASS_BYTES, fitted, held_out, training_rows
-from docloom.llm.textbytes import WordHash, byte_rows, hashed, slices
+from docloom.llm.textbytes import WordHash, hashed, text_slices
 
 BITS = 20
 #: Labelled rows of each class that the fit reads at most.
@@ -112,14 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for b in batches:
-            texts = byte_rows(b.column("text"))
-            for i, j in slices(texts):
-                r, f = feature_ids(*hashed(texts[i:j], cache))
+            for part, texts in text_slices(b):
+                r, f = feature_ids(*hashed(texts, cache))
                 pairs = np.unique((r << BITS) | f)
-                cut = np.searchsorted(pairs >> BITS, np.arange(1, j - i))
+                cut = np.searchsorted(pairs >> BITS, np.arange(1, len(texts)))
                 x = [p.astype(np.int32).tobytes() for p in np.split(pairs & ((1 << BITS) - 1), cut)]
-                own = {c: b.column(c).slice(i, j - i) for c in ("doc_id", "y")}
-                yield pa.record_batch(own | {"x": pa.array(x, pa.binary())})
+                yield pa.record_batch({c: part.column(c) for c in ("doc_id", "y")} | {"x": pa.array(x, pa.binary())})
 
     def run(got: list[tuple]) -> dict:
         taken = [(np.frombuffer(x, np.int32), y) for _, y, x in got]
@@ -143,11 +141,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = model.scorer()
         for b in batches:
-            texts = byte_rows(b.column("text"))
-            s = [f(texts[i:j]) for i, j in slices(texts)]
-            yield pa.record_batch(
-                {"doc_id": b.column("doc_id"), "score": pa.array(np.concatenate(s) if s else np.empty(0), pa.float64())}
-            )
+            for part, texts in text_slices(b):
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(f(texts), pa.float64())})
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
         run, f"doc_id {kind}, score double"
@@ -160,9 +155,8 @@ def keep(docs: DataFrame, model: ToxicityModel, below: float = 0.5) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = model.scorer()
         for b in batches:
-            texts = byte_rows(b.column("text"))
-            for i, j in slices(texts):
-                yield b.slice(i, j - i).filter(pa.array(f(texts[i:j]) < below))
+            for part, texts in text_slices(b):
+                yield part.filter(pa.array(f(texts) < below))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,3 +1,4 @@
+import math
 from itertools import product
 
 import numpy as np
@@ -58,3 +59,16 @@ def test_perturbations_come_by_estimated_chance():
     every = sorted(cost(d) for d in product((-1, 0, 1), repeat=3))
     assert len({tuple(d) for d in got}) == len(got) == 27
     assert np.allclose([cost(d) for d in got], every)
+
+
+def test_huge_finite_vectors_take_part(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e185]), (3, [-1e300, 2.0]), (4, [1.0, 2.0]), (5, [1.0, 5.0]), (6, [1.7e308, -1e307])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(vectors, F.col("id") > 0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, v in rows:
+        want = sorted((math.dist(v, w), d) for d, w in rows if d != q)
+        mine = sorted(got[q])
+        assert [d for _, d, _ in mine] == [d for _, d in want]
+        assert all(abs(s - w) <= 1e-12 * w or s == w for (_, _, s), (w, _) in zip(mine, want))

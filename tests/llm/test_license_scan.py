@@ -39,3 +39,14 @@ def test_notices_and_odd_rows(spark):
     assert by[4] == ("cc-by,cc-by-nc-4.0", 1.0) and by[5][0] == by[6][0] == "mit" and by[10] == ("mit", 1.0)
     assert by[7] == ("", 0.0) and by[11] == ("", 0.0) and by[0] == ("", 0.0) and by[6][1] < by[5][1] == 1.0
     assert L.license_scan(docs.limit(0)).count() == 0
+
+
+def test_a_notice_after_many_beginnings_of_it(spark):
+    texts = [
+        "licensed under the " * 12 + "MIT License", "Licensed under the MIT License. " * 40, "licensed under the " * 50,
+        "x y z " + "Released under the MIT License " * 3 + "and Licensed under CC BY 4.0", "cc by " * 400,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {d: (b, labels, score) for d, b, labels, score in rows_of(L.license_scan(docs))}
+    assert [by[i][1] for i in range(5)] == ["mit", "mit", "", "cc-by,cc-by-4.0,mit", "cc-by"]
+    assert all(by[i][0] == plain(t) for i, t in enumerate(texts)) and by[0][2] == by[1][2] == 1.0 and by[2][2] == 0.0
