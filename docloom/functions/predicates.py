@@ -86,10 +86,10 @@ def is_prose(line: Column) -> Column:
 
 
 def is_header_fragment(line: Column, names: str) -> Column:
-    """Up to 40 characters of one to four capitalised tokens, one of them a known name."""
-    s = strip(F.coalesce(line, F.lit("")))
-    tokens = r"^(?:[A-Z][A-Za-z.'-]*[,;]?\s*){1,4}$"
-    return (s != "") & (F.length(s) <= 40) & s.rlike(tokens) & s.rlike(names)
+    """Up to 40 characters that finish no sentence: one to four tokens parted by one blank or slash, a known name among them."""
+    s, opened = _open_line(F.coalesce(line, F.lit("")), 40)
+    tokens = r"^[A-Z][A-Za-z'.-]*(?:[ /][A-Za-z][A-Za-z'.-]*){0,3}$"
+    return opened & s.rlike(tokens) & s.rlike(names)
 
 
 #: Kinds of Markdown lines in the order in which they are tried: (kind, pattern).

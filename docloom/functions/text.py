@@ -97,19 +97,42 @@ def morphology(word: Column) -> Column:
     return out
 
 
+#: What a line may open with that can't open a sentence, and marks of list items.
+SOFT_START, LIST_ITEM = r"^[,;:.)\]]", r"^(?:[-*•>]|\d+[.)])\s"
+
+
 def unwrap(lines: Column) -> Column:
-    """Soft-wrapped lines as one line each: an open line takes the next one, a hyphen at its end goes."""
-    opened = lambda x: ~x.rlike(r"[.!?:;…]['\")\]]?\s*$") & (x != "")
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        glued = F.concat(sub(last, "-$"), F.lit(" "), x)
-        front = F.slice(acc, 1, F.size(acc) - 1)
-        go_on = (F.size(acc) > 0) & (x != "") & F.coalesce(opened(F.try_element_at(acc, F.lit(-1))), F.lit(False))
-        return F.when(go_on, F.concat(front, F.array(glued))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(lines, empty, step)
+    """Soft-wrapped lines as one line each; blank lines, finished sentences and list items keep their returns.
+
+    A line goes on with the next one if it ends with a hyphen (which goes), if
+    the next one opens with a closing mark, or if letters meet in lower case.
+    Only neighbours decide, so the work is linear in the lines.
+    """
+
+    def goes_on(prev: Column, line: Column) -> Column:
+        p, s = sub(prev, r"\s+$", ""), strip(line)
+        soft = p.endswith("-") | s.rlike(SOFT_START) | (s.rlike(r"^\p{Ll}") & p.rlike(r"\p{L}$"))
+        return (p != "") & (s != "") & ~p.rlike(r"[.!?:;…]['\")\]]?\s*$") & soft & ~s.rlike(LIST_ITEM)
+
+    def begins(own: Column) -> Column:
+        places = F.transform(own, lambda x, i: F.when(~F.coalesce(goes_on(F.get(own, i - 1), x), F.lit(False)), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    def joined(part: Column) -> Column:
+        def piece(x: Column, k: Column) -> Column:
+            t = F.when(k == 0, sub(x, r"\s+$", "")).otherwise(strip(x))
+            return F.when((k < F.size(part) - 1) & t.endswith("-"), sub(t, "-$", "")).otherwise(t)
+
+        return F.when(F.size(part) == 1, F.get(part, F.lit(0))).otherwise(F.array_join(F.transform(part, piece), " "))
+
+    def parts(own: Column, starts: Column) -> Column:
+        size = lambda at, k: F.coalesce(F.get(starts, k + 1), F.size(own)) - at
+        each = F.transform(starts, lambda at, k: F.slice(own, at + 1, size(at, k)))
+        return F.transform(each, joined)
+
+    # variables of lambdas are computed once, where expressions would be repeated in every place of use
+    bound = F.transform(F.array(lines), lambda own: F.get(F.transform(F.array(begins(own)), lambda starts: parts(own, starts)), F.lit(0)))
+    return F.get(bound, F.lit(0))
 
 
 def cut_at(lines: Column, stop) -> Column:

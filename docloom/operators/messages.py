@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.session import materialize
+from docloom.session import discard, materialize
+
+#: Rows of a table of rules at most.
+MOST_RULES = 1000
 
 
 def identity_merge(rows: DataFrame, by: list[str], order: list[str], carry: list[str]) -> DataFrame:
@@ -72,10 +75,14 @@ def guard_chronology(entries: DataFrame, id_col: str = "id", link: str = "quotes
 def first_match(rows: DataFrame, rules: DataFrame, text: str, key: list[str], default) -> DataFrame:
     """The name of the first rule, by its number, whose pattern is found in ``text``.
 
-    rules: (ord, pattern, name), a table of a few dozen rows that a person keeps.
+    rules: (ord, pattern, name), a table that a person keeps, of MOST_RULES rows
+    at most.  They become one expression, so rows are neither moved nor merged.
     """
-    met = rows.join(F.broadcast(rules), F.expr(f"{text} RLIKE pattern"), "left")
-    return met.groupBy(*key).agg(F.coalesce(F.min_by("name", "ord"), F.first(default)).alias("name"))
+    known = rules.orderBy("ord").limit(MOST_RULES + 1).collect()
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    found = F.coalesce(*(F.when(F.col(text).rlike(r["pattern"]), F.lit(r["name"])) for r in known), default)
+    return rows.select(*key, found.alias("name"))
 
 
 def page_owner(entry_pages: DataFrame, owners: DataFrame, zones: DataFrame) -> DataFrame:
@@ -85,14 +92,15 @@ def page_owner(entry_pages: DataFrame, owners: DataFrame, zones: DataFrame) -> D
     return best.join(zones, "owner", "left").where("zone IS NOT NULL")
 
 
-def inherit_zones(entries: DataFrame, most: int = 100) -> DataFrame:
+def inherit_zones(entries: DataFrame) -> DataFrame:
     """id, zone, source: along quote links, a quoted entry that is sure of nothing takes its quoter's zone.
 
     entries: id, quotes, zone, source (offset, owner_code, inherited,
-    affiliation).  A breadth-first pass for each link of the longest chain.
+    affiliation).  A breadth-first pass for each link of the longest chain;
+    every pass makes entries sure, so it ends.
     """
     now = materialize(entries.select("id", "quotes", "zone", "source"), "zones")
-    for _ in range(most):
+    while True:
         quoter = now.where("source <> 'affiliation' AND quotes IS NOT NULL")
         given = quoter.groupBy(F.col("quotes").alias("id")).agg(F.min_by("zone", "id").alias("_z"))
         step = now.join(given, "id", "left")
@@ -100,7 +108,8 @@ def inherit_zones(entries: DataFrame, most: int = 100) -> DataFrame:
         if step.where(takes).isEmpty():
             break
         zone, source = F.when(takes, F.col("_z")).otherwise(F.col("zone")), F.when(takes, "inherited").otherwise(F.col("source"))
-        now = materialize(step.select("id", "quotes", zone.alias("zone"), source.alias("source")), "zones")
+        old, now = now, materialize(step.select("id", "quotes", zone.alias("zone"), source.alias("source")), "zones")
+        discard(old)
     return now.select("id", "zone", "source")
 
 

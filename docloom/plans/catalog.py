@@ -79,7 +79,7 @@ SELECT doc_id,
 count(*) FILTER (regexp_matches(x, '{predicates.TITLE}') OR regexp_matches(x, '{predicates.CREDENTIAL.replace("'", "''")}') OR regexp_matches(x, '{predicates.AFFILIATION}')) AS signatures,
 count(*) FILTER (x <> '' AND NOT regexp_matches(x, '{_END}') AND length(x) <= 160 AND regexp_matches(x, '{predicates.ADDRESS_PART.replace("'", "''")}')) AS addresses,
 count(*) FILTER (x <> '' AND NOT regexp_matches(x, '{_END}') AND length(x) <= 200 AND NOT regexp_matches(x, '[a-z]{{5,}}')) AS debris,
-count(*) FILTER (x <> '' AND length(x) <= 40 AND regexp_matches(x, '^(?:[A-Z][A-Za-z.''-]*[,;]?\\s*){{1,4}}$') AND regexp_matches(x, 'Th|And')) AS fragments
+count(*) FILTER (x <> '' AND length(x) <= 40 AND NOT regexp_matches(x, '{_END}') AND regexp_matches(x, '^[A-Z][A-Za-z''.-]*([ /][A-Za-z][A-Za-z''.-]*){{0,3}}$') AND (contains(x, 'Th') OR contains(x, 'And'))) AS fragments
 FROM m GROUP BY doc_id""")
 def shape_predicates(s, d):
     line = F.col("line")
@@ -215,8 +215,10 @@ def time_band_pairs(s, d):
 
 @query()
 def anchor_clusters(s, d):
+    """Whole texts as bodies; two follow each other within a minute, the next two an hour later."""
     docs = _t(s, d, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("sender"), (F.col("doc_id") * 30).cast("long").alias("minute"), tx.norm_line(F.substring(F.split("text", "\n")[0], 1, 400)).alias("body"))
+    minute = (F.floor(F.col("doc_id") / 2) * 60 + F.col("doc_id") % 2).cast("long")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("sender"), minute.alias("minute"), tx.norm_line(F.col("text")).alias("body"))
     return similarity.anchor_clusters(rows)
 
 
@@ -522,9 +524,9 @@ def clean_sender(s, d):
     return fx.NAMES.df(s).select("id", tx.bare_sender(F.col("raw")).alias("bare")).select("id", "bare", tx.first_word(F.col("bare")).alias("sender"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(substr(text, 1, 200), '([\\@<>$#*_\[\]])', '\\\1', 'g') AS escaped FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(text, '([\\@<>$#*_\[\]])', '\\\1', 'g') AS escaped FROM documents""")
 def escape_typst(s, d):
-    return _t(s, d, "documents").select("doc_id", tx.escape_markup(F.substring("text", 1, 200)).alias("escaped"))
+    return _t(s, d, "documents").select("doc_id", tx.escape_markup(F.col("text")).alias("escaped"))
 
 
 @query()

@@ -11,7 +11,7 @@ import pytest
 
 from docloom.plans import catalog, fixtures
 from docloom.functions import predicates, text as tx
-from docloom.operators import similarity
+from docloom.operators import messages, similarity
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,43 @@ def test_line_functions(spark):
     assert r.json == r'{"a": "b_c\n"}' and r.field.startswith("Ann")
 
 
+def test_unwrap_keeps_headings_lists_and_sentences(spark):
+    """Expected values written down by hand from the rules."""
+    cases = [
+        (["The quick", "brown fox", "jumps."], ["The quick brown fox jumps."]),
+        (["A Heading", "Next Heading"], ["A Heading", "Next Heading"]),
+        (["one", "- item", "2. second", "third"], ["one", "- item", "2. second third"]),
+        (["ends here.", "lower case"], ["ends here.", "lower case"]),
+        (["  open  ", "", "after a blank"], ["  open  ", "", "after a blank"]),
+        (["a list (of", ") marks", "42 more"], ["a list (of ) marks", "42 more"]),
+        (["hy-", "phen", ", and more"], ["hy phen , and more"]),
+        ([], []),
+    ]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, lines array<string>")
+    got = {r.i: r.out for r in df.select("i", tx.unwrap(F.col("lines")).alias("out")).collect()}
+    assert [got[i] for i in range(len(cases))] == [b for _, b in cases]
+    long = spark.range(1).select(F.size(tx.unwrap(F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda x: F.lit("word")))).alias("n"))
+    assert long.first().n == 1
+
+
+def test_header_fragments(spark):
+    cases = [("Thomas.", False), ("Thomas Lee/Ann", True), ("Thomas Lee, Ann", False), ("thomas", False), ("Thomas " * 8, False), (None, False),
+             ("Thomas a b c", True), ("Thomas a b c d", False), ("Lee", False)]
+    df = spark.createDataFrame(cases, "s string, want boolean")
+    for r in df.select("s", "want", predicates.is_header_fragment(F.col("s"), "Thomas").alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_rules_keep_repeated_rows_and_long_chains(spark):
+    rows = spark.createDataFrame([(1, "ab"), (1, "b"), (None, "zz"), (2, None)], "k int, t string")
+    rules = spark.createDataFrame([(2, "b", "B"), (1, "a", "A")], "ord int, pattern string, name string")
+    got = sorted((str(r.k), r.name) for r in messages.first_match(rows, rules, "t", ["k"], F.lit("none")).collect())
+    assert got == [("1", "A"), ("1", "B"), ("2", "none"), ("None", "none")]
+    chain = [(i, i + 1, f"Z{i}" if i == 0 else "Etc/UTC", "offset" if i == 0 else "affiliation") for i in range(6)]
+    out = {r.id: (r.zone, r.source) for r in messages.inherit_zones(spark.createDataFrame(chain, "id long, quotes long, zone string, source string")).collect()}
+    assert out[5] == ("Z0", "inherited") and out[0] == ("Z0", "offset")
+
+
 def test_stamps_of_the_fixture(spark, sf001):
     got = {r.id: (r.naive, r.offset_min, r.how) for r in catalog.QUERIES["parse_stamp"](spark, sf001).collect()}
     assert got[1] == ("2020-02-04 09:10", -300, "offset") and got[6] == ("2020-01-30 12:00", None, "partial-no-time")
