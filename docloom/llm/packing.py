@@ -5,8 +5,12 @@
    (less than a window) becomes an item.
 2. Document frequencies are counted over all documents; the terms of the index
    are token ids, so that table has at most as many rows as the vocabulary.
-3. Items are dealt evenly to shards of a bounded number of tokens.  Each shard
-   builds its own BM25 inverted index.  A seed document asks it for unused
+3. Items are dealt to shards of a bounded number of tokens by lexical closeness:
+   an item's leading terms are those with its largest BM25 weights, items with
+   the same leading term share a shard, rare leading terms share one with
+   others, and a frequent one is split by the second leading term, then evenly.
+   Each shard builds its own BM25 inverted index, with the document frequencies
+   and the mean length of all documents.  A seed document asks it for unused
    neighbours; they fill its window greedily, best first, and the best one that
    no longer fits is cut to close the gap, its rest staying in the index.
 4. What is left at the end of a shard (less than one window) is laid out in
@@ -36,6 +40,8 @@ from docloom.session import materialize
 WINDOW, END = 4096, 2
 #: Tokens of a shard, on average.
 SHARD_TOKENS = 2_000_000
+#: The documents that hold a leading term fill at least this many windows: rarer terms have too few neighbours to gather.
+LEAD_WINDOWS = 16
 K1, B = 1.2, 0.75
 _CACHE_MAX = 600_000
 
@@ -103,6 +109,23 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and how often each stands there."""
+    s = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    return s[first], np.diff(np.append(first, len(s)))
+
+
+def _weights(tf: np.ndarray, idf: np.ndarray, length: int, mean: float) -> np.ndarray:
+    """BM25 weights of an item's terms."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def inverse_frequencies(df: np.ndarray, docs: int) -> np.ndarray:
+    """A term that most documents hold tells nothing about any of them: zero."""
+    return np.maximum(0.0, np.log((docs - df + 0.5) / (df + 0.5)))
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -119,11 +142,11 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end: int = END)
         for b in batches:
             raw, doc_ids = byte_rows(b.column("text")), b.column("doc_id").to_pylist()
             for i, j in slices(raw):
-                seen = np.zeros(tok.size, np.int64)
+                seen: list[np.ndarray] = []
                 out: list[tuple] = []
                 for k, packed in zip(range(i, j), tok.encode([t.decode("utf-8", "replace") for t in raw[i:j]]), strict=True):
                     ids = np.append(np.frombuffer(packed, tok.kind), tok.kind(end))
-                    seen[np.unique(ids)] += 1
+                    seen.append(_distinct(ids)[0])
                     n, full = len(ids), len(ids) // window * window
                     for at in range(0, full, window):
                         out.append((doc_ids[k], at, window, _crc(ids[at : at + window]), n, 2 * (base + row) + 1, 0, None, None, None))
@@ -131,8 +154,9 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end: int = END)
                     if full < n:
                         out.append((doc_ids[k], full, n - full, None, n, None, None, base + row, ids[full:].tobytes(), None))
                         row += 1
-                terms = np.flatnonzero(seen)
-                counts = np.stack((terms, seen[terms]), axis=1).astype(np.int64)
+                held = np.bincount(np.concatenate(seen), minlength=tok.size)
+                terms = np.flatnonzero(held)
+                counts = np.stack((terms, held[terms]), axis=1).astype(np.int64)
                 out.append((None, None, j - i, None, None, None, None, None, None, counts.tobytes()))
                 cols = list(zip(*out, strict=True))
                 types = [b.schema.field("doc_id").type, *[pa.int64()] * 7, pa.binary(), pa.binary()]
@@ -171,22 +195,77 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return df, slices_.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
+def leading(ids: np.ndarray, idf: np.ndarray, eligible: np.ndarray, mean: float) -> tuple[int, int]:
+    """The two eligible terms with an item's largest BM25 weights, ties to the smaller id; -1 where there is none."""
+    t, tf = _distinct(ids)
+    keep = eligible[t]
+    t, w = t[keep], _weights(tf[keep], idf[t[keep]], len(ids), mean)
+    if not len(t):
+        return -1, -1
+    one = int(np.argmax(w))
+    if len(t) == 1:
+        return int(t[one]), -1
+    w[one] = -1.0
+    return int(t[one]), int(t[np.argmax(w)])
+
+
+def with_leads(items: DataFrame, df: np.ndarray, docs: int, mean: float, window: int) -> DataFrame:
+    """The items with their leading terms ``lead`` and ``second``."""
+    idf = inverse_frequencies(df, docs)
+    eligible = (idf > 0) & (df * mean >= LEAD_WINDOWS * window)
+    width = np.uint16 if len(df) <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [leading(np.frombuffer(x, width), idf, eligible, mean) for x in b.column("ids").to_pylist()]
+            one, two = (pa.array([f[i] for f in found], pa.int32()) for i in (0, 1))
+            yield pa.record_batch([*b.columns, one, two], [*b.schema.names, "lead", "second"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in items.dtypes)
+    return items.mapInArrow(run, f"{kinds}, lead int, second int")
+
+
+def runs(sizes: dict[int, int], shard_tokens: int) -> list[tuple[int, int, int]]:
+    """(lead, run, parts): leading terms in order, gathered in runs of at most a shard; a larger one is a run of several parts."""
+    out, run, filled = [], 0, 0
+    for lead, n in sorted(sizes.items()):
+        if filled and filled + n > shard_tokens:
+            run, filled = run + 1, 0
+        out.append((lead, run, -(-n // shard_tokens)))
+        filled += n
+    return out
+
+
+def deal(items: DataFrame, shard_tokens: int) -> DataFrame:
+    """The items with their shard (run, part, salt); a shard holds about ``shard_tokens``, at most about twice as many."""
+    # at most one row for each id of the vocabulary
+    sizes = {r.lead: r.n for r in items.groupBy("lead").agg(F.sum("n").alias("n")).collect()}
+    rows = runs(sizes, shard_tokens)
+    kinds = pa.schema([("lead", pa.int32()), ("run", pa.int32()), ("parts", pa.int32())])
+    table = pa.table([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], schema=kinds)
+    named = items.join(F.broadcast(items.sparkSession.createDataFrame(table)), "lead")
+    parted = named.withColumn("part", F.pmod(F.xxhash64("second"), "parts")).drop("lead", "second", "parts")
+    salts = F.ceil(F.sum("n") / F.lit(2 * shard_tokens)).alias("salts")
+    full = parted.groupBy("run", "part").agg(salts).where("salts > 1")
+    met = parted.join(full, ["run", "part"], "left")
+    return met.withColumn("salt", F.pmod(F.xxhash64("item"), F.coalesce("salts", F.lit(1)))).drop("salts")
+
+
 class ShardIndex:
-    """A BM25 inverted index over the items of a shard."""
+    """A BM25 inverted index over the items of a shard; ``mean`` is the mean length of all items (these ones, unless given)."""
 
-    def __init__(self, items: list[np.ndarray], df: np.ndarray, docs: int) -> None:
-        # a term that most documents hold tells nothing about any of them
-        idf = np.maximum(0.0, np.log((docs - df + 0.5) / (df + 0.5)))
-        mean = sum(map(len, items)) / max(1, len(items))
+    def __init__(self, items: list[np.ndarray], df: np.ndarray, docs: int, mean: float | None = None) -> None:
+        idf = inverse_frequencies(df, docs)
+        mean = mean or sum(map(len, items)) / max(1, len(items))
         terms, owner, weight = [], [], []
         self.terms: list[np.ndarray] = []
         for k, ids in enumerate(items):
-            t, tf = np.unique(ids, return_counts=True)
+            t, tf = _distinct(ids)
             t, tf = t[idf[t] > 0], tf[idf[t] > 0]
             self.terms.append(t)
             terms.append(t)
             owner.append(np.full(len(t), k))
-            weight.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
+            weight.append(_weights(tf, idf[t], len(ids), mean))
         t = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(t, kind="stable")
         self.owner = np.concatenate([*owner, np.zeros(0, np.int64)]).astype(np.int64)[order]
@@ -202,9 +281,9 @@ class ShardIndex:
         return np.bincount(self.owner[at], self.weight[at], self.size)
 
 
-def fill(items: list[np.ndarray], df: np.ndarray, docs: int, window: int) -> list[list[tuple[int, int, int]]]:
+def fill(items: list[np.ndarray], df: np.ndarray, docs: int, window: int, mean: float | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, first id, ids); every id of every item is in exactly one."""
-    index = ShardIndex(items, df, docs)
+    index = ShardIndex(items, df, docs, mean)
     begin, left = np.zeros(len(items), np.int64), np.array([len(x) for x in items], np.int64)
     out: list[list[tuple[int, int, int]]] = []
     seeds = np.argsort(-left, kind="stable")
@@ -267,23 +346,24 @@ def pack(
     rows = materialize(tokenised(docs, path, window, end), "tokens")
     df, n_docs = document_frequencies(rows)
     items = rows.where("item is not null").select("doc_id", "start", "doc_tokens", "item", "ids", F.col("length").alias("n"))
-    tokens = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-tokens // shard_tokens))
+    mean = items.agg(F.avg("n")).first()[0] or 1.0
     width = np.uint16 if len(df) <= 1 << 16 else np.uint32
 
     def one(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("item")
         first = shard.column("start").to_pylist()
         ids = [np.frombuffer(x, width) for x in shard.column("ids").to_pylist()]
-        at_item, total = shard.column("shard")[0].as_py(), shard.column("doc_tokens").to_pylist()
+        number, total = shard.column("item").to_pylist(), shard.column("doc_tokens").to_pylist()
         cols: list[list[int]] = [[] for _ in range(7)]
         parts = []
-        for s, row in enumerate(fill(ids, df, n_docs, window)):
-            offset = 0
+        for s, row in enumerate(fill(ids, df, n_docs, window, mean)):
+            # a shard has at most as many full windows as items, and its rest as many powers of two as a window has bits
+            at_item, beyond = min(s, len(number) - 1), max(0, s - len(number) + 1)
+            sequence, offset = 2 * ((number[at_item] << 5) + beyond), 0
             for k, at, n in row:
                 part = ids[k][at : at + n]
                 parts.append(part)
-                for c, v in zip(cols, (k, first[k] + at, n, _crc(part), total[k], 2 * ((at_item << 33) + s), offset), strict=True):
+                for c, v in zip(cols, (k, first[k] + at, n, _crc(part), total[k], sequence, offset), strict=True):
                     c.append(v)
                 offset += n
         names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -294,8 +374,8 @@ def pack(
         return pa.table(out)
 
     more = ", ids array<int>" if with_ids else ""
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
-    packed = dealt.groupBy("shard").applyInArrow(one, f"doc_id {kind}, {_PIECE}{more}")
+    dealt = deal(materialize(with_leads(items, df, n_docs, mean, window), "items"), shard_tokens)
+    packed = dealt.groupBy("run", "part", "salt").applyInArrow(one, f"doc_id {kind}, {_PIECE}{more}")
     full = rows.where("sequence_id is not null").select("doc_id", *(c.split()[0] for c in _PIECE.split(", ")))
     if with_ids:
         whole = _full_windows(docs, path, window, end)

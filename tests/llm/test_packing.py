@@ -87,3 +87,44 @@ def test_scores_against_plain_bm25():
             idf = max(0, np.log((100 - df[t] + 0.5) / (df[t] + 0.5)))
             s += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
         assert abs(s - got[k]) < 1e-9
+
+
+def test_leading_terms():
+    idf, eligible = np.array([0.0, 3.0, 2.0, 2.0, 9.0]), np.array([False, True, True, True, False])
+    assert packing.leading(np.array([4, 4, 1, 3, 2, 0], np.uint16), idf, eligible, 6.0) == (1, 2)  # 4 is too rare, ties to the smaller id
+    assert packing.leading(np.array([2, 2, 2, 2, 1], np.uint16), idf, eligible, 5.0) == (2, 1)
+    assert packing.leading(np.array([0, 3], np.uint16), idf, eligible, 2.0) == (3, -1)
+    assert packing.leading(np.array([0, 4], np.uint16), idf, eligible, 2.0) == (-1, -1)
+
+
+def test_runs_hold_at_most_a_shard():
+    assert packing.runs({}, 10) == []
+    assert packing.runs({3: 4, 1: 6, 5: 1, 7: 35, 9: 2}, 10) == [(1, 0, 1), (3, 0, 1), (5, 1, 1), (7, 2, 4), (9, 3, 1)]
+
+
+def test_dealing_keeps_every_item_and_splits_hot_terms(spark):
+    rows = [(k, 100, 1, k % 3) for k in range(300)] + [(300 + k, 100, 2, 7) for k in range(300)] + [(600 + k, 10, -1, -1) for k in range(20)]
+    items = spark.createDataFrame(rows, "item long, n int, lead int, second int")
+    got = packing.deal(items, 5000).collect()
+    assert sorted(r.item for r in got) == list(range(620))
+    sizes = {}
+    for r in got:
+        sizes[r.run, r.part, r.salt] = sizes.get((r.run, r.part, r.salt), 0) + r.n
+    assert max(sizes.values()) <= 2.6 * 5000  # one second term for all of lead 2: split evenly
+    assert {(r.run, r.part) for r in got if r.item < 300}.isdisjoint({(r.run, r.part) for r in got if 300 <= r.item < 600})
+
+
+def test_near_texts_share_a_shard():
+    """Of items of ten topics, each one's best neighbour shares its leading term far more often than by chance."""
+    rng = np.random.default_rng(3)
+    items = [np.concatenate([rng.integers(0, 200, 60), 200 + 20 * (k % 10) + rng.integers(0, 20, 20)]).astype(np.uint16) for k in range(400)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in items]), minlength=400)
+    idf = packing.inverse_frequencies(df, 400)
+    lead = [packing.leading(x, idf, idf > 0, 80.0)[0] for x in items]
+    index = packing.ShardIndex(items, df, 400)
+    hits = 0
+    for k in range(400):
+        s = index.scores(k)
+        s[k] = -1
+        hits += (lead[int(np.argmax(s))] - 200) // 20 == (lead[k] - 200) // 20
+    assert hits > 300
