@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,13 +83,14 @@ class WordTokenizer:
             self.words.clear()
         joined = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
         found = self.merges.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.array([i for e in found for i in e.ids], self.kind)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
-            parts = [self._whole(w) for w in words]
+            parts = [self._whole(w).tobytes() for w in words]
         else:
-            parts = np.split(ids, ends[:-1])
-        self.words.update(zip(words, (p.tobytes() for p in parts), strict=True))
+            packed, to = ids.tobytes(), (ends * ids.itemsize).tolist()
+            parts = [packed[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)]
+        self.words.update(zip(words, parts, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
@@ -266,11 +268,11 @@ class ShardIndex:
             terms.append(t)
             owner.append(np.full(len(t), k))
             weight.append(_weights(tf, idf[t], len(ids), mean))
-        t = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
+        t = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
         order = np.argsort(t, kind="stable")
         self.owner = np.concatenate([*owner, np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.weight = np.concatenate([*weight, np.zeros(0)])[order]
-        self.starts = np.searchsorted(t[order], np.arange(len(df) + 1))
+        self.starts = np.append(0, np.cumsum(np.bincount(t, minlength=len(df))))
         self.size = len(items)
 
     def scores(self, item: int) -> np.ndarray:
