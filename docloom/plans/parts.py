@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import booklet, content, review
+from docloom.operators import booklet, content, render, review
 from docloom.plans import fixtures as fx
 from docloom.plans.catalog import _t, query
 from docloom.sources import sinks
@@ -235,3 +235,82 @@ def truncate_and_count(s, d):
         "doc_id", F.substring("text", 1, 40).alias("head"), F.regexp_count("text", F.lit(r"(?i)\bthe\b")).cast("long").alias("n_the"),
         F.md5(booklet.without_back_matter(whole)).alias("front"),
     )
+
+
+_NOTED = "coalesce(text, '') || chr(10) || '## Annex ' || CAST(doc_id AS STRING) || chr(10) || '## Annexes' || chr(10) || '## Notes' || chr(10) || '| quote of ' || source || chr(10) || '| goes on' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '| Source: ' || lang || chr(10) ELSE '' END || '| a | b |' || chr(10) || '```mermaid' || chr(10) || ' graph ' || source || chr(10) || '```' || chr(10) || '| last'"
+_BR = "'<div class=\"annex-break\"></div>' || chr(10) || chr(10)"
+
+
+@query(f"""SELECT doc_id, md5(replace(replace({_NOTED}, '## Annex ' || doc_id, {_BR} || '## Annex ' || doc_id), '## Notes', {_BR} || '## Notes')) AS text FROM documents""")
+def annex_breaks(s, d):
+    return _t(s, d, "documents").select("doc_id", F.md5(render.annex_breaks(F.expr(_NOTED))).alias("text"))
+
+
+@query("""SELECT doc_id, 0 AS n, 'quote of ' || source || ' goes on' AS body, CASE WHEN doc_id % 2 = 0 THEN lang END AS source, '<div class="pull-quote"><blockquote><p>quote of ' || source || ' goes on</p></blockquote>'
+|| CASE WHEN doc_id % 2 = 0 THEN '<cite class="pull-source">' || lang || '</cite>' ELSE '' END || '</div>' || chr(10) AS html FROM documents
+UNION ALL SELECT doc_id, 1, 'last', NULL, '<div class="pull-quote"><blockquote><p>last</p></blockquote></div>' || chr(10) FROM documents""")
+def pull_quotes(s, d):
+    found = render.pull_quotes(_t(s, d, "documents").select("doc_id", F.expr(_NOTED).alias("text")))
+    return found.withColumn("html", render.quote_html(F.col("body"), F.col("source")))
+
+
+@query("SELECT doc_id, 1 AS n, 'graph ' || source AS code FROM documents")
+def diagrams(s, d):
+    return render.diagrams(_t(s, d, "documents").select("doc_id", F.expr(_NOTED).alias("text")))
+
+
+_INLINE = "'<p>The <b>order</b> <em>' || CAST(o_orderkey AS STRING) || '</em> of <a class=\"x\" href=\"/c/' || CAST(o_custkey AS STRING) || '\"> <i>him</i> </a><br/>is <code>' || o_orderstatus || '</code>, see <a href=\"/p\">it</a>.</p>'"
+
+
+@query("""SELECT o_orderkey, 'The **order** _' || o_orderkey || '_ of _him_[^1]' || chr(10) || 'is `' || o_orderstatus || '`, see it[^2].' AS text, '/c/' || o_custkey || ' /p' AS refs FROM orders""")
+def inline_markdown(s, d):
+    rows = _t(s, d, "orders").select("o_orderkey", render.inline_markdown(F.expr(_INLINE)).alias("m"))
+    return rows.select("o_orderkey", F.col("m.text").alias("text"), F.array_join("m.refs", " ").alias("refs"))
+
+
+_TABLE = "'| key | status | total |' || chr(10) || '|---|:-:|--:|' || chr(10) || '| ' || CAST(o_orderkey AS STRING) || ' | ' || o_orderstatus || ' | $' || CAST(o_custkey AS STRING) || ' |' || chr(10) || '| rest | | |' || chr(10) || '| x |'|| o_orderpriority || '|'"
+_CELL = "'  table.cell(fill: {0}, align: {1})[' || {2} || '],'"
+_WHITE = "white"
+
+
+@query("SELECT o_orderkey, md5(" + " || chr(10) || ".join([
+    *(_CELL.format('rgb("#1d4b7a")', a, t) for a, t in (("left", "'key'"), ("center", "'status'"), ("right", "'total'"))),
+    *(_CELL.format(_WHITE, a, t) for a, t in (("left", "o_orderkey"), ("center", "o_orderstatus"), ("right", "chr(92) || '$' || o_custkey"))),
+    "'  table.cell(colspan: 3, fill: rgb(\"#d8e0e8\"), align: center)[rest],'",
+    *(_CELL.format(_WHITE, a, t) for a, t in (("left", "'x'"), ("center", "o_orderpriority"), ("right", "''"))),
+]) + ") AS text FROM orders")
+def table_markup(s, d):
+    found = render.table_markup(_t(s, d, "orders").select("o_orderkey", F.expr(_TABLE).alias("text")), "o_orderkey")
+    return found.withColumn("text", F.md5("text"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_custkey || 'pt' WHEN 1 THEN (o_custkey % 9) || '.5em' WHEN 2 THEN '"a' || o_custkey || '"' END AS value FROM orders""")
+def style_values(s, d):
+    k, c = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    name = F.get(F.array(*map(F.lit, ("h1_size", "body_leading", "page_paper", "unknown", "footer_size"))), k.cast("int"))
+    tenths = F.concat((F.col("o_custkey") % 9).cast("string"), F.lit(".5 em "))
+    value = F.when(k == 0, c).when(k == 1, tenths).when(k == 2, F.concat(F.lit("a"), c)).when(k == 3, c).otherwise(F.concat(c, F.lit("cm")))
+    return _t(s, d, "orders").select("o_orderkey", render.style_value(name, value).alias("value"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS word FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS a FROM documents)),
+m AS (SELECT doc_id, word || ': ' || meaning AS t, min(pos) AS pos FROM t JOIN {fx.WORDS.sql} USING (word) GROUP BY ALL), v AS (SELECT doc_id, string_agg(t, '; ' ORDER BY pos) AS vocabulary FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 6) GROUP BY doc_id)
+SELECT doc_id, coalesce(vocabulary, '') AS vocabulary, CASE WHEN contains(lower(text), 'qu') AND contains(lower(text), 'ut') THEN 'relative; ut clause' WHEN contains(lower(text), 'qu') THEN 'relative' WHEN contains(lower(text), 'ut') THEN 'ut clause' ELSE 'none' END AS grammar,
+doc_id % 4 AS history FROM documents LEFT JOIN v USING (doc_id)""")
+def section_notes(s, d):
+    rows = _t(s, d, "documents").select("doc_id", "text", (F.col("doc_id") + 1).alias("section"))
+    found = render.section_notes(rows, fx.WORDS.df(s), {"qu": "relative", "ut": "ut clause"}, "none", 4)
+    return found.select("doc_id", F.array_join("vocabulary", "; ").alias("vocabulary"), F.array_join("grammar", "; ").alias("grammar"), "history")
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber - 1) FILTER (l_linenumber - 1 BETWEEN 1 AND 4)), ',') AS pages FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_linenumber - 1 BETWEEN 1 AND 4) > 0")
+def pages_within(s, d):
+    rows = _t(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber") - 1)).alias("pages"))
+    return rows.select("l_orderkey", F.array_join(render.pages_within(F.col("pages"), F.lit(4)), ",").alias("pages")).where("pages <> ''")
+
+
+@query()
+def hardened_diff(s, d):
+    """Every whole text against itself with its first sentence marked; texts without one have an empty diff."""
+    after = F.regexp_replace("text", r"(?s)\A([^.]*\.)", "**$1**")
+    return _t(s, d, "documents").select("doc_id", render.diff_udf("text", after, F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("diff"))
