@@ -34,6 +34,8 @@ from docloom.llm.textbytes import byte_rows, slices
 
 BLOCK, RATE, SEEK_EVERY = 192, 8000, 16
 _FRAMES = 4096
+#: Samples of a PCM block.
+SAMPLES = 4096
 _LPC_ORDER, _LPC_BITS = 4, 8
 #: Predictors of the fixed orders, nearest sample first.
 _FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -433,13 +435,23 @@ def write_media(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             texts = byte_rows(b.column("text"))
             for i, j in slices(texts):
-                media = encode([pad(t) for t in texts[i:j]])
+                media = stored(texts[i:j])
                 yield pa.record_batch({"doc_id": b.column("doc_id").slice(i, j - i), "media": pa.array(media, pa.binary())})
 
     return docs.select("doc_id", F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, media binary")
 
 
-def pcm_blocks(media: DataFrame, samples: int = 4096) -> DataFrame:
+def stored(texts: list[bytes]) -> list[bytes]:
+    """The FLAC stream of each padded text."""
+    return encode([pad(t) for t in texts])
+
+
+def blocks_of(streams: list[bytes], samples: int = SAMPLES) -> list[list[tuple[int, bytes]]]:
+    """(sample offset, unsigned 8-bit samples) of every block of each stream, checksums verified."""
+    return [[(at, p[at : at + samples]) for at in range(0, len(p), samples)] for p in decode(streams)]
+
+
+def pcm_blocks(media: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, sample_offset, n_samples and pcm (unsigned 8-bit) of every block of ``samples`` samples of each stream.
 
     A reader seeks by ``sample_offset``.  Null media have no blocks.
@@ -452,8 +464,8 @@ def pcm_blocks(media: DataFrame, samples: int = 4096) -> DataFrame:
             for i, j in slices(raw):
                 rows = []
                 used = [k for k in range(i, j) if raw[k]]
-                for k, p in zip(used, decode([raw[k] for k in used]), strict=True):
-                    rows += [(ids[k], at, p[at : at + samples]) for at in range(0, len(p), samples)]
+                for k, blocks in zip(used, blocks_of([raw[k] for k in used], samples), strict=True):
+                    rows += [(ids[k], at, pcm) for at, pcm in blocks]
                 yield pa.record_batch(
                     {
                         "doc_id": pa.array([r[0] for r in rows], b.schema.field("doc_id").type),
@@ -478,7 +490,7 @@ def sound(payload: bytes) -> str:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store every padded text as FLAC, read the stored bytes back, and describe both."""
+    """Store every padded text as FLAC, read the stored bytes back as PCM blocks, and describe both."""
     kind = dict(docs.dtypes)["doc_id"]
     columns = (
         "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
@@ -488,8 +500,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = byte_rows(b.column("text"))
             for i, j in slices(texts, 1 << 20):
-                media = encode([pad(t) for t in texts[i:j]])
-                back = decode(media)
+                media = stored(texts[i:j])
+                blocks = blocks_of(media)
+                back = [b"".join(pcm for _, pcm in own) for own in blocks]
                 yield pa.record_batch(
                     {
                         "doc_id": b.column("doc_id").slice(i, j - i),
@@ -500,9 +513,11 @@ def media_digests(docs: DataFrame) -> DataFrame:
                         "media_bytes": pa.array([len(m) for m in media], pa.int64()),
                         "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
                         "feature": pa.array([sound(p) for p in back]),
+                        "n_blocks": pa.array([len(own) for own in blocks], pa.int64()),
+                        "last_offset": pa.array([own[-1][0] for own in blocks], pa.int64()),
                     }
                 )
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, {columns}, feature string"
+        run, f"doc_id {kind}, {columns}, feature string, n_blocks long, last_offset long"
     )

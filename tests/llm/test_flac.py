@@ -113,6 +113,7 @@ def test_query_and_blocks(spark):
         p = flac.pad((t or "").encode())
         assert (r.doc_id, r.n_bytes, r.payload_bytes) == (i, len((t or "").encode()), len(p))
         assert r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.tail_crc32 == zlib.crc32(p[-16:])
+        assert (r.n_blocks, r.last_offset) == (-(-len(p) // 4096), (len(p) - 1) // 4096 * 4096)
     blocks = flac.pcm_blocks(flac.write_media(docs.where("doc_id = 5"))).orderBy("sample_offset").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == flac.pad(b"long " * 40000)
     assert [b.sample_offset for b in blocks] == list(range(0, 200064, 4096))
