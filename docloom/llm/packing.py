@@ -46,7 +46,8 @@ LEAD_WINDOWS = 16
 K1, B = 1.2, 0.75
 _CACHE_MAX = 600_000
 
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+# the most frequent branch stands first; no branch but those with an apostrophe can begin alike
+_SPLIT = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
 class WordTokenizer:
@@ -111,15 +112,24 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and how often each stands there."""
-    s = np.sort(ids, kind="stable")
-    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
-    return s[first], np.diff(np.append(first, len(s)))
+def counted(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, id, how often it stands there), by item and id."""
+    sizes = [len(x) for x in items]
+    key = np.repeat(np.arange(len(items)) << 32, sizes) | np.concatenate([*items, np.zeros(0, np.int64)])
+    key.sort()
+    first = np.flatnonzero(_opens(key))
+    tf = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return key >> 32, key & 0xFFFFFFFF, tf
 
 
-def _weights(tf: np.ndarray, idf: np.ndarray, length: int, mean: float) -> np.ndarray:
-    """BM25 weights of an item's terms."""
+def _opens(s: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.append(True, s[1:] != s[:-1])[: len(s)]
+
+
+def _weights(tf: np.ndarray, idf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of the terms of items of these lengths."""
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
@@ -148,7 +158,7 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end: int = END)
                 out: list[tuple] = []
                 for k, packed in zip(range(i, j), tok.encode([t.decode("utf-8", "replace") for t in raw[i:j]]), strict=True):
                     ids = np.append(np.frombuffer(packed, tok.kind), tok.kind(end))
-                    seen.append(_distinct(ids)[0])
+                    seen.append(ids)
                     n, full = len(ids), len(ids) // window * window
                     for at in range(0, full, window):
                         out.append((doc_ids[k], at, window, _crc(ids[at : at + window]), n, 2 * (base + row) + 1, 0, None, None, None))
@@ -156,7 +166,7 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end: int = END)
                     if full < n:
                         out.append((doc_ids[k], full, n - full, None, n, None, None, base + row, ids[full:].tobytes(), None))
                         row += 1
-                held = np.bincount(np.concatenate(seen), minlength=tok.size)
+                held = np.bincount(counted(seen)[1], minlength=tok.size)
                 terms = np.flatnonzero(held)
                 counts = np.stack((terms, held[terms]), axis=1).astype(np.int64)
                 out.append((None, None, j - i, None, None, None, None, None, None, counts.tobytes()))
@@ -197,18 +207,29 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return df, slices_.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
-def leading(ids: np.ndarray, idf: np.ndarray, eligible: np.ndarray, mean: float) -> tuple[int, int]:
-    """The two eligible terms with an item's largest BM25 weights, ties to the smaller id; -1 where there is none."""
-    t, tf = _distinct(ids)
+def leads(items: list[np.ndarray], idf: np.ndarray, eligible: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The two eligible terms with each item's largest BM25 weights, ties to the smaller id; -1 where there is none."""
+    owner, t, tf = counted(items)
     keep = eligible[t]
-    t, w = t[keep], _weights(tf[keep], idf[t[keep]], len(ids), mean)
-    if not len(t):
-        return -1, -1
-    one = int(np.argmax(w))
-    if len(t) == 1:
-        return int(t[one]), -1
-    w[one] = -1.0
-    return int(t[one]), int(t[np.argmax(w)])
+    owner, t, tf = owner[keep], t[keep], tf[keep]
+    w = _weights(tf, idf[t], np.array([len(x) for x in items], np.int64)[owner], mean)
+    found = np.full((2, len(items)), -1, np.int32)
+    starts = np.flatnonzero(_opens(owner))
+    for best in found:
+        if not len(t):
+            break
+        top = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, starts), np.diff(np.append(starts, len(w)))))
+        top = top[_opens(owner[top])]
+        top = top[w[top] >= 0]
+        best[owner[top]] = t[top]
+        w[top] = -1.0
+    return found[0], found[1]
+
+
+def leading(ids: np.ndarray, idf: np.ndarray, eligible: np.ndarray, mean: float) -> tuple[int, int]:
+    """The leading terms of one item."""
+    one, two = leads([ids], idf, eligible, mean)
+    return int(one[0]), int(two[0])
 
 
 def with_leads(items: DataFrame, df: np.ndarray, docs: int, mean: float, window: int) -> DataFrame:
@@ -219,9 +240,10 @@ def with_leads(items: DataFrame, df: np.ndarray, docs: int, mean: float, window:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [leading(np.frombuffer(x, width), idf, eligible, mean) for x in b.column("ids").to_pylist()]
-            one, two = (pa.array([f[i] for f in found], pa.int32()) for i in (0, 1))
-            yield pa.record_batch([*b.columns, one, two], [*b.schema.names, "lead", "second"])
+            packed = b.column("ids").to_pylist()
+            for i, j in slices(packed):
+                found = leads([np.frombuffer(x, width) for x in packed[i:j]], idf, eligible, mean)
+                yield pa.record_batch([*b.slice(i, j - i).columns, *map(pa.array, found)], [*b.schema.names, "lead", "second"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in items.dtypes)
     return items.mapInArrow(run, f"{kinds}, lead int, second int")
@@ -261,26 +283,30 @@ class ShardIndex:
         mean = mean or sum(map(len, items)) / max(1, len(items))
         terms, owner, weight = [], [], []
         self.terms: list[np.ndarray] = []
-        for k, ids in enumerate(items):
-            t, tf = _distinct(ids)
-            t, tf = t[idf[t] > 0], tf[idf[t] > 0]
-            self.terms.append(t)
+        for i in range(0, len(items), 256):
+            part = items[i : i + 256]
+            own, t, tf = counted(part)
+            keep = idf[t] > 0
+            own, t, tf = own[keep], t[keep], tf[keep]
+            self.terms += np.split(t, np.searchsorted(own, np.arange(1, len(part))))
             terms.append(t)
-            owner.append(np.full(len(t), k))
-            weight.append(_weights(tf, idf[t], len(ids), mean))
-        t = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
-        order = np.argsort(t, kind="stable")
-        self.owner = np.concatenate([*owner, np.zeros(0, np.int64)]).astype(np.int64)[order]
+            owner.append(own + i)
+            weight.append(_weights(tf, idf[t], np.array([len(x) for x in part], np.int64)[own], mean))
+        t = np.concatenate([*terms, np.zeros(0, np.int64)])
+        order = np.argsort(t.astype(np.uint16 if len(df) <= 1 << 16 else np.uint32), kind="stable")
+        self.owner = np.concatenate([*owner, np.zeros(0, np.int64)])[order]
         self.weight = np.concatenate([*weight, np.zeros(0)])[order]
         self.starts = np.append(0, np.cumsum(np.bincount(t, minlength=len(df))))
         self.size = len(items)
 
     def scores(self, item: int) -> np.ndarray:
         """The BM25 score of every item for the distinct terms of one."""
-        t = self.terms[item].astype(np.int64)
-        lo, n = self.starts[t], self.starts[t + 1] - self.starts[t]
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(self.owner[at], self.weight[at], self.size)
+        t = self.terms[item]
+        if not len(t):
+            return np.zeros(self.size)
+        runs = list(zip(self.starts[t].tolist(), self.starts[t + 1].tolist(), strict=True))
+        owner, weight = (np.concatenate([x[i:j] for i, j in runs]) for x in (self.owner, self.weight))
+        return np.bincount(owner, weight, self.size)
 
 
 def fill(items: list[np.ndarray], df: np.ndarray, docs: int, window: int, mean: float | None = None) -> list[list[tuple[int, int, int]]]:

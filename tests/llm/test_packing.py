@@ -128,3 +128,21 @@ def test_near_texts_share_a_shard():
         s[k] = -1
         hits += (lead[int(np.argmax(s))] - 200) // 20 == (lead[k] - 200) // 20
     assert hits > 300
+
+
+def test_leading_terms_of_many_items():
+    """Of all items at once as of each alone: empty items and items without an eligible term between others."""
+    rng = np.random.default_rng(4)
+    items = [rng.integers(0, 30, n).astype(np.uint16) for n in (0, 1, 40, 3, 0, 200, 7)]
+    idf, eligible = rng.integers(0, 3, 30).astype(float), rng.random(30) < 0.5
+    eligible[0] = False
+    items.insert(3, np.zeros(5, np.uint16))
+    one, two = packing.leads(items, idf, eligible, 20.0)
+    for x, *got in zip(items, one.tolist(), two.tolist(), strict=True):
+        w = {}
+        for t in sorted(set(x.tolist())):
+            if eligible[t]:
+                tf = x.tolist().count(t)
+                w[t] = idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / 20.0))
+        want = sorted(w, key=lambda t: (-w[t], t))[:2]
+        assert got == [*want, -1, -1][:2]
