@@ -23,6 +23,7 @@ empty result; other columns are never read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -60,6 +61,7 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         # for words that are normalised and split already: the same merges, without the work ahead of them
@@ -96,13 +98,11 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         split = [None if ODD.search(t) else _SPLIT.findall(t.lower()) for t in texts]
-        every: set[str] = set()
-        for s in split:
-            every.update(s or ())
-        if fresh := [w for w in every if w not in self.words]:
-            self._learn(fresh)
-            if any(w not in self.words for w in every):  # the cache was emptied meanwhile
-                self._learn([w for w in every if w not in self.words])
+        every = set().union(*(s for s in split if s))
+        if fresh := every.difference(self.words):
+            self._learn(list(fresh))
+            if gone := every.difference(self.words):  # the cache was emptied meanwhile
+                self._learn(list(gone))
         get = self.words.__getitem__
         return [self._whole(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
