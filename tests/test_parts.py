@@ -135,3 +135,12 @@ def test_queries_take_empty_tables(spark, sf001, tmp_path):
     assert len(own) == 30
     for n in own:
         assert catalog.QUERIES[n](spark, str(tmp_path)).count() == 0, n
+
+
+def test_page_checks_encode_long_addresses_in_one_line(spark, tmp_path):
+    import base64
+
+    urls = {1: "http://a.example.org/" + "é/" * 50, 2: "http://b.org/" + "x" * 44, 3: "http://b.org/" + "x" * 45, 4: "", 5: None}
+    spark.createDataFrame([(k, u, "<p>") for k, u in urls.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.encoded for r in catalog.QUERIES["page_checks"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if u is None else base64.b64encode(u.encode()).decode() for k, u in urls.items()}
