@@ -24,7 +24,9 @@ scheme finds so wide a radius exactly, so its CELLS cells are random choices of
 CELL_BITS bits: texts of similarity s agree in a bit with chance
 p = 1 - acos(2s / (1 + s)) / pi and meet with chance 1 - (1 - p^CELL_BITS)^CELLS
 (0.84, 0.96, 0.997 at 0.8, 0.85, 0.9); tiles and forests are the same.  Real bits
-aren't independent: 0.96 of pairs at a similarity of 0.9 are found.
+aren't independent: 0.96 of pairs at a similarity of 0.9 are found.  What the
+cells leave apart, the exact join of :mod:`set_join` links: no pair of at least
+the similarity is left out.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any
 other; repeated rows share class and component; a component whose ids are all
@@ -45,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
+from docloom.llm.set_join import set_columns, set_links
 from docloom.llm.textbytes import text_slices
 from docloom.session import materialize
 
@@ -99,8 +102,11 @@ def fingerprints(texts: list[bytes], k: int = SHINGLE, bits: int = 64) -> np.nda
     return out.ravel() if bits == 64 else out
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = (), bits: int = 64) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long, of 128 bits as bytes) and the columns ``also`` of every row."""
+def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = (), bits: int = 64, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long, of 128 bits as bytes) and the columns ``also`` of every row.
+
+    With a similarity also n, digest and prefix of its shingle set, for :func:`set_links`.
+    """
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +114,10 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str,
             for part, rows in text_slices(b):
                 fp = fingerprints(rows, shingle, bits)
                 own = pa.array(fp.view(np.int64)) if bits == 64 else pa.array([x.tobytes() for x in fp], pa.binary())
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": own} | {c: part.column(c) for c in also})
+                sets = {} if similarity is None else set_columns(rows, shingle, similarity)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": own} | {c: part.column(c) for c in also} | sets)
 
-    more = "".join(f", {c} {kinds[c]}" for c in also)
+    more = "".join(f", {c} {kinds[c]}" for c in also) + ("" if similarity is None else ", n int, digest long, prefix array<long>")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *also)
     return texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, fp {'long' if bits == 64 else 'binary'}{more}")
 
@@ -289,17 +296,23 @@ def radius_of(similarity: float, bits: int = WIDE) -> int:
 def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each component of texts of at least ``similarity``, with all its columns: that of the smallest doc_id, null ids last.
 
+    Links are those that the fingerprints' cells find, and every pair of at
+    least that similarity which these leave in different components.
     Of rows that repeat that id the one with the smallest hashes of all columns
     stays.  A row is known by its id and those hashes (128 bits), never by its
     id alone: ids may be null or stand in several components.
     """
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     marks = [F.xxhash64(*plain).alias("_h0"), F.xxhash64(F.lit(1), *plain).alias("_h1")]
-    table = materialize(fingerprint_table(docs.select("doc_id", "text", *marks), shingle, ("_h0", "_h1"), WIDE), "fp")
+    marked = docs.select("doc_id", "text", *marks)
+    table = materialize(fingerprint_table(marked, shingle, ("_h0", "_h1"), WIDE, similarity), "fp")
     key = F.struct("doc_id", "_h0", "_h1").alias("key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key)).alias("first")
     roots = components(links(table, radius=radius_of(similarity))).withColumnRenamed("v", "fp")
+    sets = table.select("fp", "n", "digest", "prefix", "_h0", "_h1").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    later = components(set_links(sets, marked, shingle, similarity)).select(F.col("v").alias("root"), F.col("root").alias("last"))
     named = table.groupBy("fp").agg(first).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = named.join(later, "root", "left").withColumn("root", F.coalesce("last", "root"))
     heads = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("_row"), F.struct("doc_id", *marks).alias("_key"))

@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 from docloom.llm import simhash
 from docloom.llm.components import components
+from docloom.llm.set_join import set_links
 
 
 def brute_fp(text):
@@ -145,3 +146,23 @@ def test_a_row_of_each_component_stays_whatever_its_id(spark):
     assert kept.columns == docs.columns
     got = sorted((r.text, -1 if r.doc_id is None else r.doc_id) for r in kept.collect())
     assert got == sorted([(t, -1) for t in texts[:6]] + [(texts[6], 7), (texts[7], 7), (texts[8], 8)])
+
+
+def test_keep_one_leaves_out_no_pair_of_the_similarity(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(120):  # pairs close to the similarity, of 10 to 400 words, where fingerprints differ by many bits
+        w = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(10, 400)))]
+        at, n = int(rng.integers(len(w))), max(1, round(len(w) * rng.uniform(0.02, 0.2)))
+        texts += [" ".join(w), " ".join(w[:at] + [f"n{x}" for x in rng.integers(0, 5000, n)] + w[at:])]
+    texts += ["", None, "one", "one two", "One two"]
+    sims = [jaccard(texts[2 * k].split(), texts[2 * k + 1].split()) for k in range(120)]
+    assert sum(0.8 <= s < 0.9 for s in sims) > 20 and sum(0.7 < s < 0.8 for s in sims) > 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = simhash.fingerprint_table(docs.selectExpr("doc_id", "text", "doc_id AS _h0", "0L AS _h1"), 5, ("_h0", "_h1"), 128, 0.8)
+    marked = docs.selectExpr("text", "doc_id AS _h0", "0L AS _h1")
+    for broadcast in (1000, 0):
+        got = {(r.a, r.b) for r in set_links(table.withColumn("root", table["doc_id"]), marked, 5, 0.8, broadcast).collect()}
+        assert {tuple(sorted(x)) for x in got} == {(2 * k, 2 * k + 1) for k in range(120) if sims[k] >= 0.8} | {(243, 244)}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert not [k for k in range(120) if sims[k] >= 0.8 and 2 * k + 1 in kept]
