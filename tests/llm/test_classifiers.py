@@ -95,3 +95,20 @@ def test_sample_is_bounded_by_ids_and_bytes(spark):
     assert all(0 < v <= 200 for v in by.values())
     assert labelled.training_rows(docs, labels, "quality", 3)[0].count() <= 6
     assert labelled.training_rows(docs, labels.limit(0), "quality", 3)[0].count() == 0
+
+
+def test_quality_is_fitted_on_all_rows_and_pairs(spark):
+    rng = random.Random(2)
+    texts = {i: " ".join(rng.choices(["good", "fine", "$$", "|", "Text", "12"], (4, 3, 1 + i % 2, 1, 2, 1 + i % 3), k=rng.randrange(5, 60))) for i in range(400)}
+    docs = spark.createDataFrame([*texts.items(), (None, "x"), (500, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, (i + 1) % 2 if i % 7 else i // 7 % 2) for i in range(400)] * 2 + [(None, 1), (9, None)], "doc_id long, quality int")
+    m = quality.train(docs, labels)
+    y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id is not None and r.quality is not None and __import__("zlib").crc32(str(r.doc_id).encode()) % 5}
+    x = {c: quality.features([texts[i].encode() for i in y if y[i] == c]) for c in (0, 1)}
+    d = (x[1][:, None] - x[0][None]).reshape(-1, x[0].shape[1])  # all pairs
+    p = 1 / (1 + np.exp(d @ m.weights))
+    grad = d.T @ p * quality.PAIRS / len(d) - 2.0 * m.weights
+    assert np.abs(m.weights).max() > 1 and np.abs(grad).max() < 0.01 and len(d) > 20_000
+    raw = {c: (x[c] - m.mean) @ m.weights for c in (0, 1)}
+    best = max((raw[1] >= v).mean() + (raw[0] < v).mean() for v in np.concatenate([raw[0], raw[1]]))
+    assert abs((raw[1] >= m.cut).mean() + (raw[0] < m.cut).mean() - best) < 0.02
