@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.set_join import set_columns, set_links
+from docloom.llm.set_join import set_columns, set_links, shingle_ranks
 from docloom.llm.textbytes import text_slices
 from docloom.session import materialize
 
@@ -102,11 +102,12 @@ def fingerprints(texts: list[bytes], k: int = SHINGLE, bits: int = 64) -> np.nda
     return out.ravel() if bits == 64 else out
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = (), bits: int = 64, similarity: float | None = None) -> DataFrame:
+def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = (), bits: int = 64, similarity: float | None = None, ranks: np.ndarray | None = None) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long, of 128 bits as bytes) and the columns ``also`` of every row.
 
-    With a similarity also n, digest and prefix of its shingle set, for :func:`set_links`.
+    With a similarity also n, digest, prefix and last of its shingle set, for :func:`set_links`; ranks: of :func:`shingle_ranks`.
     """
+    order = None if ranks is None else docs.sparkSession.sparkContext.broadcast(ranks)
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +115,10 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str,
             for part, rows in text_slices(b):
                 fp = fingerprints(rows, shingle, bits)
                 own = pa.array(fp.view(np.int64)) if bits == 64 else pa.array([x.tobytes() for x in fp], pa.binary())
-                sets = {} if similarity is None else set_columns(rows, shingle, similarity)
+                sets = {} if similarity is None else set_columns(rows, shingle, similarity, order and order.value)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": own} | {c: part.column(c) for c in also} | sets)
 
-    more = "".join(f", {c} {kinds[c]}" for c in also) + ("" if similarity is None else ", n int, digest long, prefix array<long>")
+    more = "".join(f", {c} {kinds[c]}" for c in also) + ("" if similarity is None else ", n int, digest long, prefix array<long>, last int")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *also)
     return texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, fp {'long' if bits == 64 else 'binary'}{more}")
 
@@ -305,11 +306,11 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float =
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     marks = [F.xxhash64(*plain).alias("_h0"), F.xxhash64(F.lit(1), *plain).alias("_h1")]
     marked = docs.select("doc_id", "text", *marks)
-    table = materialize(fingerprint_table(marked, shingle, ("_h0", "_h1"), WIDE, similarity), "fp")
+    table = materialize(fingerprint_table(marked, shingle, ("_h0", "_h1"), WIDE, similarity, shingle_ranks(docs, shingle)), "fp")
     key = F.struct("doc_id", "_h0", "_h1").alias("key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key)).alias("first")
     roots = components(links(table, radius=radius_of(similarity))).withColumnRenamed("v", "fp")
-    sets = table.select("fp", "n", "digest", "prefix", "_h0", "_h1").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sets = table.select("fp", "n", "digest", "prefix", "last", "_h0", "_h1").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     later = components(set_links(sets, marked, shingle, similarity)).select(F.col("v").alias("root"), F.col("root").alias("last"))
     named = table.groupBy("fp").agg(first).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.join(later, "root", "left").withColumn("root", F.coalesce("last", "root"))

@@ -1,6 +1,6 @@
 import numpy as np
 import xxhash
-from docloom.llm import simhash
+from docloom.llm import set_join, simhash
 from docloom.llm.components import components
 from docloom.llm.set_join import set_links
 
@@ -166,3 +166,28 @@ def test_keep_one_leaves_out_no_pair_of_the_similarity(spark):
         assert {tuple(sorted(x)) for x in got} == {(2 * k, 2 * k + 1) for k in range(120) if sims[k] >= 0.8} | {(243, 244)}
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert not [k for k in range(120) if sims[k] >= 0.8 and 2 * k + 1 in kept]
+
+
+def test_common_shingles_and_large_classes_dont_meet_pairwise(spark):
+    rng = np.random.default_rng(6)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 10**6, n)]
+
+    passage, base = words(60), words(100)
+    texts = [" ".join(words(60) + passage + words(60)) for _ in range(150)]  # a third of each text, never similar
+    texts += [" ".join(base[: i + 1] + ["new"] + base[i + 1 :]) for i in range(80)]  # one class
+    texts += [" ".join(base[:50] + words(9)), " ".join(base[9:])]  # two more texts beside it, the second one similar
+    root = [*range(150), *[150] * 80, 230, 231]
+    rows = spark.createDataFrame([(i, t, r) for i, (t, r) in enumerate(zip(texts, root))], "doc_id long, text string, root long")
+    docs = rows.selectExpr("doc_id", "text", "root", "doc_id AS _h0", "0L AS _h1")
+    ranks = set_join.shingle_ranks(docs, 5)
+    table = simhash.fingerprint_table(docs, 5, ("root", "_h0", "_h1"), 128, 0.8, ranks)
+    posts = table.selectExpr("doc_id AS id", "root AS class", "n", "struct(last, element_at(prefix, -1) AS key) AS end", "posexplode(prefix) AS (pos, key)")
+    near = {(min(root[a], root[b]), max(root[a], root[b])) for a in range(len(texts)) for b in range(a) if root[a] != root[b] and jaccard(texts[a].split(), texts[b].split()) >= 0.8}
+    for broadcast in (1000, 0):
+        met = set_join._met(posts, 0.8, broadcast)
+        assert met.count() < 82 * 25 and not met.where("ia < 150").count()
+        assert {(r.a, r.b) for r in set_links(table, docs, 5, 0.8, broadcast).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").collect()} == near == {(150, 231)}
+    hashed = simhash.fingerprint_table(docs, 5, ("root", "_h0", "_h1"), 128, 0.8)
+    assert {(r.a, r.b) for r in set_links(hashed, docs, 5, 0.8).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").collect()} == near
