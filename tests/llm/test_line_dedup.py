@@ -160,3 +160,17 @@ def test_whole_table_same_on_both_paths(spark, sf001):
     texts = {x.strip() for _, t in rows for x in t.split("\n")}
     assert len(texts) < 4000
     assert rows_of(L.line_classes(docs)) == brute(rows)
+
+
+def test_refined_rows_grow_with_the_lines(spark, monkeypatch):
+    made, refined = [], L._refined
+    monkeypatch.setattr(L, "_refined", lambda rows: made.append(refined(rows).count()) or refined(rows))
+    words = [f"w{i}" for i in range(40)]
+    for n in (100, 200):
+        rng, lines = random.Random(1), []
+        for _ in range(n):
+            at = rng.sample(range(40), 2)
+            lines.append(" ".join("".join(rng.choices("abcdefghij", k=3)) if i in at else w for i, w in enumerate(words)))
+        L.edges(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).count()
+    assert len(made) == 4 and all(0 < m <= 5 * 15 * n for m, n in zip(made, (100, 100, 200, 200)))
+    assert all(b <= 3 * a for a, b in zip(made[:2], made[2:]))
